@@ -279,7 +279,8 @@ def _in_blocks(region: DataFrame, similarity: Fraction, leaf: int) -> DataFrame:
     n = region.groupBy("region").agg(F.ceil(F.count("*") / leaf).cast("int").alias("n"))
     dealt = region.join(n, "region").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     left = dealt.select("region", "node", "shingles", F.col("block").alias("i"), F.explode(F.expr("sequence(block, n - 1)")).alias("j"))
-    right = dealt.select("region", "node", "shingles", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"))
+    right = dealt.select(*[F.col(c).alias(c) for c in ("region", "node", "shingles", "block")], F.explode(F.expr("sequence(0, block)")).alias("i"))
+    right = right.select("region", "node", "shingles", "i", F.col("block").alias("j"))
     keys = ["region", "i", "j"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block(similarity), "a bigint, b bigint")
 

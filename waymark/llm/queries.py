@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embed_dedup import embedding_digest
 from .ngram_join import jaccard_components
+from .quality import score_quality
+from .scratch import shared_dir
+from .suffix_dedup import suffix_digest
+from .token_ids import read_token_ids, write_token_ids
+from .window_dedup import window_digest
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer file; the package that holds them is found only where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,7 +32,30 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), words=3, similarity=Fraction(9, 10))
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    write_token_ids(read(spark, sf_dir, "documents"), out, tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return read_token_ids(spark, out)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_digest(read(spark, sf_dir, "documents"))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_digest(read(spark, sf_dir, "embeddings"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    f.__name__: f
+    for f in (op1_ngram_jaccard_join, op2_token_ids, op4_quality_classifier, op6_suffix_array_dedup, op8_embedding_near_dedup, op9_substring_dedup)
 }
 ORACLE_SQL: dict[str, str] = {}

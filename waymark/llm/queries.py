@@ -9,9 +9,13 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 
 from .embed_dedup import embedding_digest
+from .hamming_topk import SEARCH_SQL, search_digest
+from .html_text import extract_text
+from .mixing import mixing_digest, mixing_sql
 from .ngram_join import jaccard_components
 from .quality import score_quality
 from .scratch import shared_dir
+from .sp_codec import codec_digest
 from .suffix_dedup import suffix_digest
 from .token_ids import read_token_ids, write_token_ids
 from .window_dedup import window_digest
@@ -38,14 +42,26 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_ids(spark, out)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec_digest(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_digest(read(spark, sf_dir, "documents"))
 
 
+def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_digest(read(spark, sf_dir, "documents"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_digest(read(spark, sf_dir, "embeddings"))
 
@@ -54,8 +70,23 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_digest(read(spark, sf_dir, "documents"))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_digest(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_token_ids, op4_quality_classifier, op6_suffix_array_dedup, op8_embedding_near_dedup, op9_substring_dedup)
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_token_ids,
+        op3_sentencepiece,
+        op4_quality_classifier,
+        op5_html_extraction,
+        op6_suffix_array_dedup,
+        op7_mixing_sources,
+        op8_embedding_near_dedup,
+        op9_substring_dedup,
+        op10_exact_top_k,
+    )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_mixing_sources": mixing_sql(), "op10_exact_top_k": SEARCH_SQL}

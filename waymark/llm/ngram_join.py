@@ -8,13 +8,15 @@ Jaccard distance is a metric, and so is the size of the symmetric difference; bo
    bound are replicated into the next one (the triangle inequality through the empty set). In a band the shingle space
    is cut into more classes than sets may differ in shingles, so similar sets agree wholly on some class: the
    projections to a class are compared at distance 0. Documents far from all others share no class with anyone
-   and end here; sets whose regions overlap form a *family*.
+   and end here. Of the others, pivots meet the sets that share a class with them, and those that agree on as many
+   classes as similar sets must become one *family*.
    Voronoi cells alone can't do this first cut: nearly all documents are at distance 1 from any pivot.
-3. Families are joined exactly by pivots: each set goes to the Voronoi cell of its nearest pivot and, by the triangle
-   inequality, also to each cell whose pivot is at most 2 * (1-s) farther away. Sets that link to a cell's pivot
-   are connected by it already; of those a cell keeps only the window from which a set outside the pivot's ball can
-   be reached. Cells join recursively until a task can compare them in blocks.
-   No pair that is connected already is needed, so copies aren't expanded into all pairs.
+3. Families are joined exactly by pivots. Distances of all sets to a few pivots are measured; sets that share a linked
+   pivot, directly or through other sets, are connected and settled if theirs is the region's largest group. No pair of
+   settled sets is needed, so copies aren't expanded into all pairs. Settled sets go to the Voronoi cell of their nearest
+   pivot; an open set goes to the cell of its nearest pivot and, by the triangle inequality, to every cell whose
+   pivot is at most 2 * (1-s) farther away. Within a cell open sets meet settled ones in blocks. Open sets among
+   themselves are a smaller region, which joins recursively until a task can compare it.
 4. Links become components.
 
 Nulls and empty texts have the empty set, which links with nothing; repeated rows and ties fall into one node.
@@ -37,8 +39,8 @@ from .components import components
 from .scratch import likely_in, written
 
 U64 = np.uint64
-#: Classes beyond the least number, so that a set may have as many empty classes before it has to name them.
-SPARE = 2
+#: Share of classes beyond the least number: as many of a set's smallest classes, which say least, aren't named.
+SPARE = 4
 #: Ratio of a band's upper and lower bound.
 BAND = Fraction(3, 2)
 #: Sets that one task compares in one piece.
@@ -79,8 +81,13 @@ def most_different(size_a: int, size_b: int, similarity: Fraction) -> int:
     return int((1 - similarity) / (1 + similarity) * (size_a + size_b))
 
 
-def class_keys(shingles: np.ndarray, similarity: Fraction, edges: list[int]) -> np.ndarray:
-    """64-bit keys of the regions a set belongs to. Similar but unequal sets share a key at least."""
+def class_keys(shingles: np.ndarray, similarity: Fraction, edges: list[int]) -> list[tuple[int, int, np.ndarray, bytes]]:
+    """(band, least number of classes that similar sets agree on, 64-bit keys of regions, 16 bits of every class).
+
+    Similar but unequal sets have a band in common, and in it a key. With t + 1 + spare classes, sets that differ in t
+    shingles agree on spare + 1. Each set leaves out its `spare` smallest classes, ordered by size and content; what two
+    sets leave out of the classes they agree on is the same beginning of one order, so a class is left that both name.
+    """
     n, out = len(shingles), []
     home = int(np.searchsorted(edges, n, "right")) - 1
     for band in range(home, len(edges) - 1):  # a band takes pairs whose larger set is in it
@@ -90,37 +97,90 @@ def class_keys(shingles: np.ndarray, similarity: Fraction, edges: list[int]) ->
         t = most_different(high, high, similarity)
         if not t:
             continue
-        k = t + 1 + SPARE
-        cls = (tn.mix(shingles ^ U64(0xA5A5)) >> U64(33)) % U64(k)
+        spare = 2 + t // SPARE
+        k = t + 1 + spare
+        cls = ((tn.mix(shingles ^ U64(0xA5A5)) >> U64(33)) % U64(k)).astype(np.int64)
         sums = np.zeros(k, U64)
-        np.add.at(sums, cls.astype(np.int64), tn.mix(shingles))
-        full = np.bincount(cls.astype(np.int64), minlength=k) > 0
+        np.add.at(sums, cls, tn.mix(shingles))
+        size = np.bincount(cls, minlength=k)
         keys = tn.mix(sums + U64((band * 1_000_003 + 17) * tn.BASE & (1 << 64) - 1) + np.arange(k, dtype=U64) * U64(0xC2B2AE3D27D4EB4F))
-        out.append(keys[full] if (~full).sum() <= SPARE else keys)
-    return np.concatenate(out) if out else np.zeros(0, U64)
+        out.append((band, spare + 1, keys[np.lexsort((keys, size))[spare:]], (keys >> U64(48)).astype("<u2").tobytes()))
+    return out
+
+
+BANDS = "array<struct<band: int, need: int, keys: array<bigint>, sketch: binary>>"
 
 
 def _regions(words: int, similarity: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = band_edges(1 << 40)
+        lists = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
         for batch in batches:
             for part, texts in tn.slices(batch):
                 rows = [(len(s), set_hash(s), class_keys(s, similarity, edges)) for s in shingle_sets(texts, words)]
-                lengths = np.array([0] + [len(r[2]) for r in rows], np.int64)
-                keys = tn.signed(np.concatenate([r[2] for r in rows])) if rows else np.zeros(0, np.int64)
+                flat = [x for r in rows for x in r[2]]
+                keys = tn.signed(np.concatenate([np.zeros(0, U64), *[x[2] for x in flat]]))
+                bands = pa.StructArray.from_arrays(
+                    [pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), lists([len(x[2]) for x in flat], pa.array(keys)), pa.array([x[3] for x in flat], pa.binary())],
+                    names=["band", "need", "keys", "sketch"],
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(part.schema.get_field_index("doc_id")),
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([r[1] for r in rows], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(keys)),
-                    ],
-                    names=["doc_id", "n_shingles", "node", "keys"],
+                    [part.column(part.schema.get_field_index("doc_id")), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), lists([len(r[2]) for r in rows], bands)],
+                    names=["doc_id", "n_shingles", "node", "bands"],
                 )
 
     return run
 
 
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that agree on as many classes as similar sets do."""
+    for batch in batches:
+        x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+        agree = [int((np.frombuffer(a, np.uint16) == np.frombuffer(b, np.uint16)).sum()) for a, b in zip(x, y, strict=True)]
+        keep = pa.array(np.array(agree, np.int64) >= batch.column("need").to_numpy())
+        yield batch.select(["low", "node"]).filter(keep)
+
+
+def _covering_regions(base: DataFrame, rounds: int = 3) -> DataFrame:
+    """(region, node) rows such that any two similar sets are in one region at least.
+
+    Sets with a key in common are compared by their classes before any shingle is fetched. In each round every key's
+    pivot (of the smallest family there) meets the key's other sets; those that may be similar become one family, and
+    the pivot leaves. A key is done when the sets left in it are of one family; what isn't done after the rounds becomes
+    regions of its own, one for each set of members.
+    """
+    sketched = base.select("node", F.explode("bands").alias("b")).select("node", "b.band", "b.need", "b.keys", "b.sketch")
+    rows = sketched.select("node", "band", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    open_keys = written(rows.join(shared, "key").distinct(), "keys")
+    nodes = open_keys.select("node", "band").distinct()
+    sketches = written(sketched.select("node", "band", "need", "sketch").join(nodes, ["node", "band"]).dropDuplicates(["node", "band"]), "sketches")
+    edges, family = None, None
+    for r in range(rounds):
+        of = open_keys.withColumns({"family": F.col("node"), "size": F.lit(1).cast("bigint")})
+        if family is not None:
+            of = open_keys.join(family, "node", "left").withColumns({"family": F.coalesce("family", "node"), "size": F.coalesce("size", F.lit(1))})
+        pivot = of.groupBy("key").agg(F.min(F.struct("size", "node")).alias("p"), F.min("family").alias("f0"), F.max("family").alias("f1")).where("f0 < f1").select("key", F.col("p.node").alias("low"))
+        open_keys = written(open_keys.join(pivot, "key"), "open")
+        if open_keys.isEmpty():
+            break
+        pairs = open_keys.where("node != low").select("band", "low", "node").distinct()
+        pairs = pairs.join(sketches.select(F.col("node").alias("low"), "band", "need", F.col("sketch").alias("x")), ["low", "band"])
+        pairs = pairs.join(sketches.select("node", "band", F.col("sketch").alias("y")), ["node", "band"])
+        found = pairs.select("low", "node", "need", "x", "y").mapInArrow(_plausible, "low bigint, node bigint")
+        edges = written(found if edges is None else edges.union(found), "plausible")
+        family = components(edges).select("node", F.col("component").alias("family"))
+        family = written(family.join(family.groupBy("family").agg(F.count("*").alias("size")), "family").select("node", "family", "size"), "families")
+        open_keys = open_keys.where("node != low").select("key", "band", "node")
+    of = open_keys if family is None else open_keys.join(family, "node", "left")
+    of = of.withColumn("family", F.coalesce("family", "node") if family is not None else F.col("node"))
+    member = F.xxhash64("node").cast("decimal(38,0)")
+    rest = of.groupBy("key").agg(F.sum(member).alias("members"), F.count("*").alias("n"), F.min("family").alias("f0"), F.max("family").alias("f1")).where("f0 < f1")
+    rest = rest.groupBy("members", "n").agg(F.min("key").alias("key")).select("key")
+    rest = open_keys.join(rest, "key").select(F.xxhash64(F.lit("key"), "key").alias("region"), "node")
+    return rest if family is None else family.select(F.xxhash64(F.lit("family"), "family").alias("region"), "node").union(rest)
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,9 +188,9 @@ def _sets(words: int):
                 sets = [tn.signed(s) for s in shingle_sets(texts, words)]
                 ends = np.cumsum([0] + [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index(c)) for c in ("node", "family")]
+                    [part.column(part.schema.get_field_index(c)) for c in ("node", "regions")]
                     + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))],
-                    names=["node", "family", "shingles"],
+                    names=["node", "regions", "shingles"],
                 )
 
     return run
@@ -235,54 +295,84 @@ def _distances(similarity: Fraction):
     return run
 
 
-def metric_join(sets: DataFrame, similarity: Fraction, leaf: int = LEAF, depth: int = 3) -> DataFrame:
-    """Links (a, b) that connect all sets of a family that similarity `similarity` connects.
+def _main_groups(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one region's (mask, n): pivots that a set links to together are connected; marks masks of the largest group.
 
-    sets: node bigint, family bigint, shingles array<bigint>, one row for each node.
+    There are at most 2**PIVOTS masks.
     """
-    spark = sets.sparkSession
-    region = written(sets.select(F.col("family").alias("region"), "node", "shingles"), "region")
+    masks, n = pdf["mask"].to_numpy(), pdf["n"].to_numpy()
+    groups: list[int] = []
+    for m in masks.tolist():
+        if m:
+            groups = [g for g in groups if not g & m] + [m | sum(g for g in groups if g & m)]
+    weight = [int(n[(masks & g) != 0].sum()) for g in groups]
+    best = groups[int(np.argmax(weight))] if groups else 0
+    return pd.DataFrame({"region": pdf["region"], "mask": masks, "main": (masks & best) != 0})
+
+
+def metric_join(sets: DataFrame, similarity: Fraction, leaf: int = LEAF, depth: int = 4) -> DataFrame:
+    """Links (a, b) that connect all sets of a region that similarity `similarity` connects.
+
+    sets: node bigint, regions array<bigint>, shingles array<bigint>, one row for each node.
+    """
+    region = written(sets.select(F.explode("regions").alias("region"), "node", "shingles"), "region")
     links = []
     eps = float(1 - similarity) + 1e-9
+    keys = [F.xxhash64("node", F.lit(i)) for i in range(PIVOTS)]
     for level in range(depth + 1):
-        sizes = region.groupBy("region").agg(F.count("*").alias("size"))
-        sized = region.join(sizes, "region")
-        small = sized.where((F.col("size") > 1) & (F.col("size") <= leaf)).select("region", "node", "shingles")
+        sizes = written(region.groupBy("region").agg(F.count("*").alias("size")), "sizes")
+        small = region.join(sizes.where((F.col("size") > 1) & (F.col("size") <= leaf)).select("region"), "region", "left_semi")
         links.append(small.groupBy("region").applyInPandas(_leaf(similarity), "a bigint, b bigint"))
-        large = sizes.where(F.col("size") > leaf)
+        large = sizes.where(F.col("size") > leaf).select("region")
         if large.isEmpty():
             break
-        rest = region.join(large.select("region"), "region", "left_semi")
+        rest = region.join(large, "region", "left_semi")
         if level == depth:
-            links.append(_in_blocks(rest, similarity, leaf))
+            links.append(_in_blocks(rest, rest, similarity, leaf, True))
             break
-        order = F.struct(F.xxhash64("node", F.lit(level)).alias("h"), "node", "shingles")
-        pivots = rest.groupBy("region").agg(F.min_by(order, F.xxhash64("node", F.lit(level))).alias("p0"), *[F.min_by(order, F.xxhash64("node", F.lit(100 * level + i))).alias(f"p{i}") for i in range(1, PIVOTS)])
-        pivots = pivots.select("region", F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("pivots"))
+        # pivots: the sets with the least of some hashes; the hash is renewed with each level as regions change
+        chosen = rest.groupBy("region").agg(*[F.min(F.struct(k.alias("h"), "node")).alias(f"p{i}") for i, k in enumerate(keys)])
+        chosen = chosen.select("region", F.explode(F.array_distinct(F.array(*[f"p{i}.node" for i in range(PIVOTS)]))).alias("node"))
+        pivots = rest.join(chosen, ["region", "node"]).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("node", "shingles"))).alias("pivots"))
         schema = "region bigint, node bigint, shingles array<bigint>, pivot_nodes array<bigint>, d array<double>, linked array<boolean>"
-        measured = written(rest.join(pivots, "region").mapInArrow(_distances(similarity), schema), "pivots")
-        cells = measured.select("*", F.array_min("d").alias("nearest"), F.posexplode(F.arrays_zip("pivot_nodes", "d", "linked")).alias("cell", "p"))
-        cells = cells.select("region", "node", "shingles", "cell", "nearest", F.col("p.pivot_nodes").alias("pivot"), F.col("p.d").alias("dist"), F.col("p.linked").alias("hit"))
-        links.append(cells.where("hit and node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        window = cells.where(F.col("dist") <= F.col("nearest") + 2 * eps)
-        outside = window.where("not hit").groupBy("region", "cell").agg(F.min("dist").alias("first"))
-        child = window.join(outside, ["region", "cell"]).where(~F.col("hit") | (F.col("dist") >= F.col("first") - eps))
-        region = written(child.select(F.xxhash64("region", "cell", F.lit(level)).alias("region"), "node", "shingles"), "region")
+        measured = rest.join(pivots, "region").mapInArrow(_distances(similarity), schema)
+        mask = F.aggregate(F.transform("linked", lambda hit, i: F.when(hit, F.pow(F.lit(2), i).cast("int")).otherwise(0)), F.lit(0), lambda x, y: x + y)
+        measured = written(measured.withColumn("mask", mask), "pivots")
+        hit = F.explode(F.filter(F.arrays_zip("pivot_nodes", "linked"), lambda p: p["linked"]))
+        links.append(measured.select("node", hit.alias("p")).where("node != p.pivot_nodes").select(F.col("node").alias("a"), F.col("p.pivot_nodes").alias("b")))
+        groups = measured.groupBy("region", "mask").agg(F.count("*").alias("n")).groupBy("region").applyInPandas(_main_groups, "region bigint, mask int, main boolean")
+        split = measured.join(groups, ["region", "mask"])
+        # Voronoi cells: a settled set is in its own, an open one in every cell within its window too
+        near = F.array_min("d")
+        cell = lambda c: F.xxhash64("region", c, F.lit(level)).alias("region")
+        own = F.array_position("d", near)
+        settled = split.where("main").select(cell(own), "node", "shingles")
+        opened = split.where("not main")
+        within = F.filter(F.transform("d", lambda x, i: F.when(x <= near + 2 * eps, (i + 1).cast("bigint"))), lambda i: i.isNotNull())
+        window = opened.select("*", F.explode(within).alias("_cell")).select(cell(F.col("_cell")), "node", "shingles")
+        links.append(_in_blocks(window, settled, similarity, leaf, False))
+        region = written(opened.select("region", "node", "shingles"), "region")
     out = links[0]
     for more in links[1:]:
         out = out.union(more)
-    return written(out, "found") if links else spark.createDataFrame([], "a bigint, b bigint")
+    return written(out, "found")
+
+
+def _in_blocks(one: DataFrame, two: DataFrame, similarity: Fraction, leaf: int, same: bool) -> DataFrame:
+    """Every block of `one` against every block of `two` with the same region: exact at any size. same: they are equal."""
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in ("region", "node", "shingles")])
+    one, two = fresh(one), fresh(two)
+    blocks = lambda df, n: df.groupBy("region").agg(F.ceil(F.count("*") / leaf).cast("int").alias(n))
+    n = blocks(one, "n1").join(blocks(two, "n2"), "region")
+    dealt = lambda df, k: df.join(n, "region").withColumn("block", F.pmod(F.xxhash64("node"), F.col(k)).cast("int"))
+    left = dealt(one, "n1").select("region", "node", "shingles", F.col("block").alias("i"), F.explode(F.expr("sequence(block, n2 - 1)" if same else "sequence(0, n2 - 1)")).alias("j"))
+    right = dealt(two, "n2").select("region", "node", "shingles", F.explode(F.expr("sequence(0, block)" if same else "sequence(0, n1 - 1)")).alias("i"), F.col("block").alias("j"))
+    keys = ["region", "i", "j"]
+    return fresh_keys(left).groupBy(*keys).cogroup(fresh_keys(right).groupBy(*keys)).applyInPandas(_block(similarity), "a bigint, b bigint")
 
 
-def _in_blocks(region: DataFrame, similarity: Fraction, leaf: int) -> DataFrame:
-    """Every block of a region against every other, for regions that pivots don't split: exact at any size."""
-    n = region.groupBy("region").agg(F.ceil(F.count("*") / leaf).cast("int").alias("n"))
-    dealt = region.join(n, "region").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    left = dealt.select("region", "node", "shingles", F.col("block").alias("i"), F.explode(F.expr("sequence(block, n - 1)")).alias("j"))
-    right = dealt.select(*[F.col(c).alias(c) for c in ("region", "node", "shingles", "block")], F.explode(F.expr("sequence(0, block)")).alias("i"))
-    right = right.select("region", "node", "shingles", "i", F.col("block").alias("j"))
-    keys = ["region", "i", "j"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block(similarity), "a bigint, b bigint")
+def fresh_keys(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
 def jaccard_join(docs: DataFrame, words: int = 5, similarity: float | Fraction = Fraction(4, 5)) -> tuple[DataFrame, DataFrame]:
@@ -293,16 +383,13 @@ def jaccard_join(docs: DataFrame, words: int = 5, similarity: float | Fraction =
     """
     similarity = Fraction(similarity).limit_denominator(10_000)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    schema = "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>"
-    base = written(docs.mapInArrow(_regions(words, similarity), schema), "sets")
-    keys = base.select("node", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
-    stars = written(keys.join(shared, "key").where("node != low").select("low", "node").distinct(), "stars")
-    family = components(stars).select("node", F.col("component").alias("family"))
-    first = base.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(family, "node")
-    first = written(first, "family")
+    base = written(docs.mapInArrow(_regions(words, similarity), f"doc_id bigint, n_shingles bigint, node bigint, bands {BANDS}"), "sets")
+    regions = written(_covering_regions(base), "regions")
+    member = regions.groupBy("node").agg(F.collect_list("region").alias("regions"))
+    first = base.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(member, "node")
+    first = written(first, "members")
     texts = likely_in(docs, "doc_id", first.select("doc_id")).join(first, "doc_id").dropDuplicates(["node"])
-    sets = texts.select("node", "family", "text").mapInArrow(_sets(words), "node bigint, family bigint, shingles array<bigint>")
+    sets = texts.select("node", "regions", "text").mapInArrow(_sets(words), "node bigint, regions array<bigint>, shingles array<bigint>")
     return base.select("doc_id", "n_shingles", "node"), metric_join(sets, similarity)
 
 

@@ -7,8 +7,11 @@ windows or so, are what Spark shuffles:
 
 * anchors that occur once end there;
 * two runs with equal content repeat each other in all their windows at once;
-* of runs that share an anchor but not their content (the edges of passages), each different content sends its
-  windows one by one, once, however often it occurs.
+* of runs that share an anchor but not their content (the edges of passages), each different content is looked at
+  once, however often it occurs: window by window or, where a window has a `block`, block by block. A block is the
+  windows of `block` neighbouring offsets from the anchor. They share a core; if no other block has it, none of them
+  occurs again. Otherwise they differ only in the few symbols before and after the core, which the block carries
+  along, so that single windows are told apart without the text.
 
 Each count is a grouped aggregate with partial sums, so a passage in a third of all texts is a few rows for each
 task. Equality is that of 64-bit hashes. Texts are taken whole; windows never cross texts. Null or short texts have
@@ -44,9 +47,10 @@ class Windows:
     size: int
     gram: int
     codes: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+    block: int = 0
 
 
-BYTES_200 = Windows(200, 40, byte_codes)
+BYTES_200 = Windows(200, 40, byte_codes, 32)
 WORDS_50 = Windows(50, 8, tn.word_hashes)
 
 
@@ -59,10 +63,9 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored_runs(codes: np.ndarray, bounds: np.ndarray, w: Windows) -> tuple[np.ndarray, ...]:
-    """(text, first window, number of windows, anchor hash, content hash) of every run."""
+    """(text, first window, number of windows, the anchor's distance, anchor hash, content hash) of every run."""
     if len(codes) < w.size:
-        z = np.zeros(0, np.int64)
-        return z, z, z, z, z
+        return (np.zeros(0, np.int64),) * 6
     prefix = tn.prefix_hash(codes)
     grams = tn.window_hash(prefix, w.gram)
     least = sliding_min((grams & ~LOW) | np.arange(len(grams), dtype=U64), w.size - w.gram + 1)
@@ -72,8 +75,7 @@ def anchored_runs(codes: np.ndarray, bounds: np.ndarray, w: Windows) -> tuple[np
     valid[bounds[1:][long] - w.size + 1] -= 1
     at = np.flatnonzero(np.cumsum(valid[: len(least)], dtype=np.int8))
     if not len(at):
-        z = np.zeros(0, np.int64)
-        return z, z, z, z, z
+        return (np.zeros(0, np.int64),) * 6
     anchor = (least[at] & LOW).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     start, anchor = at[first], anchor[first]
@@ -81,16 +83,16 @@ def anchored_runs(codes: np.ndarray, bounds: np.ndarray, w: Windows) -> tuple[np
     content = tn.span_hash(prefix, start, start + n - 1 + w.size)
     content = tn.mix(content + (anchor - start).astype(U64) * U64(tn.BASE))
     text = np.searchsorted(bounds, start, "right") - 1
-    return text, start - bounds[text], n, tn.signed(grams[anchor]), tn.signed(content)
+    return text, start - bounds[text], n, anchor - start, tn.signed(grams[anchor]), tn.signed(content)
 
 
 def _run_rows(w: Windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in tn.slices(batch):
-                text, pos, n, anchor, content = anchored_runs(*w.codes(texts), w)
+                text, pos, n, lead, anchor, content = anchored_runs(*w.codes(texts), w)
                 ids = part.column(part.schema.get_field_index("doc_id")).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(pos), pa.array(n, pa.int32()), pa.array(anchor), pa.array(content)], names=["doc_id", "pos", "n", "anchor", "content"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(pos), pa.array(n, pa.int32()), pa.array(lead, pa.int32()), pa.array(anchor), pa.array(content)], names=["doc_id", "pos", "n", "lead", "anchor", "content"])
 
     return run
 
@@ -118,14 +120,79 @@ def _window_rows(w: Windows):
     return run
 
 
+def _block_rows(w: Windows):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The blocks of the runs (of bytes) that `marks` names, one row each."""
+        size, width = w.size, w.block
+        for batch in batches:
+            for part, texts in tn.slices(batch):
+                data, bounds = tn.text_bytes(texts)
+                prefix, raw = tn.prefix_hash(w.codes(texts)[0]), data.tobytes()
+                marks = part.column(part.schema.get_field_index("marks"))
+                text = np.repeat(np.arange(len(part)), np.diff(marks.offsets.to_numpy()))
+                flat = marks.flatten()
+                pos, n, lead = (flat.field(c).to_numpy().astype(np.int64) for c in ("pos", "n", "lead"))
+                low, high = -lead // width, (n - 1 - lead) // width
+                row = np.repeat(np.arange(len(n)), high - low + 1)
+                b = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
+                base = (bounds[text] + pos + lead)[row] + b * width
+                t0, t1 = np.maximum(0, -lead[row] - b * width), np.minimum(width - 1, (n - 1 - lead)[row] - b * width)
+                core = tn.span_hash(prefix, base + width - 1, base + size)
+                whole = tn.span_hash(prefix, base + t0, base + size + t1)
+                whole = tn.mix(whole + ((b + 64) * 4096 + t0 * 64 + t1).astype(U64) * U64(tn.BASE))
+                left = [raw[i:j] for i, j in zip((base + t0).tolist(), (base + width - 1).tolist(), strict=True)]
+                right = [raw[i:j] for i, j in zip((base + size).tolist(), (base + size + t1).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [flat.field(c).take(pa.array(row)) for c in ("anchor", "content", "times")]
+                    + [pa.array(x, pa.int32()) for x in (b, t0, t1, b * width + lead[row])]
+                    + [pa.array(tn.signed(core)), pa.array(tn.signed(whole)), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                    names=["anchor", "content", "times", "b", "t0", "t1", "at", "core", "whole", "left", "right"],
+                )
+
+    return run
+
+
+BLOCK_ROW = "anchor bigint, content bigint, times bigint, b int, t0 int, t1 int, at int, core bigint, whole bigint, left binary, right binary"
+
+
+def _again_by_blocks(texts: DataFrame, w: Windows) -> DataFrame:
+    """(anchor, content, at, mask): windows of unrepeated runs that occur again, `mask` having a bit for each from `at`."""
+    blocks = written(texts.mapInArrow(_block_rows(w), BLOCK_ROW), "blocks")
+    place = ["anchor", "b", "core"]
+    cores = blocks.groupBy(*place).agg(F.sum("times").alias("met"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
+    cores = cores.where("met > 1").select(*place, (F.col("lo") < F.col("hi")).alias("mixed"))
+    blocks = written(blocks.join(cores, place), "met")
+    span = F.expr("shiftleft(1L, t1 + 1) - shiftleft(1L, t0)")
+    plain = blocks.where("times = 1 and not mixed").select("anchor", "content", "at", span.alias("mask"))
+
+    edge = [*place, "whole"]
+    kinds = blocks.where("mixed").groupBy(*edge).agg(F.sum("times").alias("times"), *[F.first(c).alias(c) for c in ("t0", "t1", "left", "right")])
+    kinds = written(kinds, "kinds")
+    windows = kinds.select(*edge, "times", F.explode(F.sequence("t0", "t1")).alias("t"), "t0", "left", "right")
+    before = F.expr(f"substring(left, t - t0 + 1, {w.block - 1} - t)")
+    after = F.expr("substring(right, 1, t)")
+    windows = windows.select(*edge, "times", "t", F.xxhash64(*place, "t", before, after).alias("window"))
+    often = windows.groupBy("window").agg(F.sum("times").alias("met")).where("met > 1").select("window")
+    masks = windows.where("times = 1").join(often, "window").groupBy(*edge).agg(F.sum(F.expr("shiftleft(1L, t)")).alias("mask"))
+    masks = masks.union(kinds.where("times > 1").select(*edge, span.alias("mask")))
+    mixed = blocks.where("times = 1 and mixed").join(masks, edge).select("anchor", "content", "at", "mask")
+    return plain.union(mixed)
+
+
+def _offsets(n: int, parts: list | None) -> np.ndarray:
+    """All of n windows, or those that the parts' masks have bits for."""
+    if parts is None:
+        return np.arange(n)
+    return np.array([p["at"] + i for p in parts for i in range(int(p["mask"]).bit_length()) if p["mask"] >> i & 1], np.int64)
+
+
 def _merge(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Maximal removal intervals of each text from the starts of its repeated windows."""
         for batch in batches:
             pdf, out = batch.to_pandas(), []
             for marks in pdf["marks"]:
-                starts = np.concatenate([m["pos"] + (np.arange(m["n"]) if m["offsets"] is None else np.asarray(m["offsets"])) for m in marks])
-                starts = np.unique(starts)
+                starts = np.unique(np.concatenate([m["pos"] + _offsets(m["n"], m["parts"]) for m in marks]))
                 cut = np.flatnonzero(np.diff(starts) > size) + 1
                 out.append([{"start": int(s[0]), "end": int(s[-1]) + size} for s in np.split(starts, cut) if len(s)])
             spans = pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
@@ -141,32 +208,36 @@ def repeated_spans(docs: DataFrame, w: Windows, keep_first: bool) -> DataFrame:
     keep_first True: windows that start in a text with a smaller doc_id.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
-    schema = "doc_id bigint, pos bigint, n int, anchor bigint, content bigint"
+    schema = "doc_id bigint, pos bigint, n int, lead int, anchor bigint, content bigint"
     runs = written(docs.mapInArrow(_run_rows(w), schema), "runs")
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("times"), F.min("content").alias("lo"), F.max("content").alias("hi"))
     anchors = anchors.where("times > 1").select("anchor", (F.col("lo") < F.col("hi")).alias("several"))
     runs = written(runs.join(anchors, "anchor"), "repeated")
 
     first = F.min(F.struct("doc_id", "pos")).alias("first")
-    contents = runs.groupBy("anchor", "content").agg(F.count("*").alias("times"), first, F.first("n").alias("n"), F.first("several").alias("several"))
-    contents = written(contents.select("anchor", "content", "times", "first.*", "n", "several"), "contents")
-    edges = contents.where("several").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n", "anchor", "content", "times")).alias("marks"))
+    contents = runs.groupBy("anchor", "content").agg(F.count("*").alias("times"), first, F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("several").alias("several"))
+    contents = written(contents.select("anchor", "content", "times", "first.*", "n", "lead", "several"), "contents")
+    edges = contents.where("several").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n", "lead", "anchor", "content", "times")).alias("marks"))
     edges = written(edges, "edges")
     texts = likely_in(docs, "doc_id", edges.select("doc_id")).join(edges, "doc_id").dropDuplicates(["doc_id"])
-    schema = "window bigint, anchor bigint, content bigint, times bigint, doc_id bigint, offset int"
-    windows = written(texts.mapInArrow(_window_rows(w), schema), "windows")
-    counts = windows.groupBy("window").agg(F.sum("times").alias("all_times"), F.min("doc_id").alias("least"))
-    if keep_first:
-        again = windows.join(counts.select("window", "least"), "window").where("least < doc_id")
+    if w.block and not keep_first:
+        again = _again_by_blocks(texts, w)
     else:
-        again = windows.where("times = 1").join(counts.where("all_times > 1").select("window"), "window")
-    partly = again.groupBy("anchor", "content").agg(F.collect_list("offset").alias("offsets"))
+        schema = "window bigint, anchor bigint, content bigint, times bigint, doc_id bigint, offset int"
+        windows = written(texts.mapInArrow(_window_rows(w), schema), "windows")
+        counts = windows.groupBy("window").agg(F.sum("times").alias("all_times"), F.min("doc_id").alias("least"))
+        if keep_first:
+            again = windows.join(counts.select("window", "least"), "window").where("least < doc_id")
+        else:
+            again = windows.where("times = 1").join(counts.where("all_times > 1").select("window"), "window")
+        again = again.select("anchor", "content", F.col("offset").alias("at"), F.lit(1).cast("bigint").alias("mask"))
+    partly = again.groupBy("anchor", "content").agg(F.collect_list(F.struct("at", "mask")).alias("parts"))
 
     whole = (F.col("runs.doc_id") > F.col("known.doc_id")) if keep_first else (F.col("times") > 1)
-    known = contents.join(partly, ["anchor", "content"], "left").select("anchor", "content", "doc_id", "times", "offsets")
-    known = known if keep_first else known.where("times > 1 or offsets is not null")
-    marked = runs.alias("runs").join(known.alias("known"), ["anchor", "content"]).where(whole | F.col("offsets").isNotNull())
-    mark = F.struct(F.col("pos"), F.col("n"), F.when(~whole, F.col("offsets")).alias("offsets"))
+    known = contents.join(partly, ["anchor", "content"], "left").select("anchor", "content", "doc_id", "times", "parts")
+    known = known if keep_first else known.where("times > 1 or parts is not null")
+    marked = runs.alias("runs").join(known.alias("known"), ["anchor", "content"]).where(whole | F.col("parts").isNotNull())
+    mark = F.struct(F.col("pos"), F.col("n"), F.when(~whole, F.col("parts")).alias("parts"))
     marks = marked.select(F.col("runs.doc_id").alias("doc_id"), mark.alias("mark")).groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
     return written(marks.mapInArrow(_merge(w.size), "doc_id bigint, spans array<struct<start: bigint, end: bigint>>"), "spans")
 

@@ -46,6 +46,8 @@ BAND = Fraction(3, 2)
 #: Sets that one task compares in one piece.
 LEAF = 512
 PIVOTS = 8
+#: Sets of one key that may become a region of their own.
+LARGE_KEY = 64
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -146,8 +148,8 @@ def _covering_regions(base: DataFrame, rounds: int = 3) -> DataFrame:
 
     Sets with a key in common are compared by their classes before any shingle is fetched. In each round every key's
     pivot (of the smallest family there) meets the key's other sets; those that may be similar become one family, and
-    the pivot leaves. A key is done when the sets left in it are of one family; what isn't done after the rounds becomes
-    regions of its own, one for each set of members.
+    the pivot leaves. A key is done when the sets left in it are of one family; a small one that isn't done after the
+    rounds becomes a region of its own (one for each set of members), a large one merges the families that meet in it.
     """
     sketched = base.select("node", F.explode("bands").alias("b")).select("node", "b.band", "b.need", "b.keys", "b.sketch")
     rows = sketched.select("node", "band", F.explode("keys").alias("key"))
@@ -174,11 +176,18 @@ def _covering_regions(base: DataFrame, rounds: int = 3) -> DataFrame:
         open_keys = open_keys.where("node != low").select("key", "band", "node")
     of = open_keys if family is None else open_keys.join(family, "node", "left")
     of = of.withColumn("family", F.coalesce("family", "node") if family is not None else F.col("node"))
-    member = F.xxhash64("node").cast("decimal(38,0)")
-    rest = of.groupBy("key").agg(F.sum(member).alias("members"), F.count("*").alias("n"), F.min("family").alias("f0"), F.max("family").alias("f1")).where("f0 < f1")
-    rest = rest.groupBy("members", "n").agg(F.min("key").alias("key")).select("key")
+    code = F.xxhash64("node").cast("decimal(38,0)")
+    rest = of.groupBy("key").agg(F.sum(code).alias("members"), F.count("*").alias("n"), F.min("family").alias("f0"), F.max("family").alias("f1")).where("f0 < f1")
+    # large ones would repeat a group's sets for each of its keys: the families that meet in them become one instead
+    large = rest.where(F.col("n") > LARGE_KEY).select("key", "f0")
+    rest = rest.where(F.col("n") <= LARGE_KEY).groupBy("members", "n").agg(F.min("key").alias("key")).select("key")
     rest = open_keys.join(rest, "key").select(F.xxhash64(F.lit("key"), "key").alias("region"), "node")
-    return rest if family is None else family.select(F.xxhash64(F.lit("family"), "family").alias("region"), "node").union(rest)
+    met = written(of.join(large, "key").select("node", "family", "f0").distinct(), "met")
+    merged = components(met.select("f0", "family").distinct()).select(F.col("node").alias("family"), "component")
+    member = met.select("node", "family")
+    member = member if family is None else member.union(family.select("node", "family"))
+    member = member.distinct().join(merged, "family", "left").select(F.xxhash64(F.lit("family"), F.coalesce("component", "family")).alias("region"), "node")
+    return member.union(rest)
 
 
 def _sets(words: int):

@@ -79,6 +79,40 @@ def test_all_paths_of_a_small_lattice(model):
     assert edge == -np.inf and abs(sum(np.exp(f[1]) for f in found) - 1) < 1e-9
 
 
+def spellings(model, word):
+    """All ways to write a word in pieces of the vocabulary, with their weights in logs."""
+    ways = [[((), 0.0)]] + [[] for _ in word]
+    for end in range(1, len(word) + 1):
+        for start in range(end):
+            if (p := model.plain.get(word[start:end])) is not None:
+                ways[end] += [((*w, p), x + model.logit[p]) for w, x in ways[start]]
+    return dict(ways[-1])
+
+
+def test_lattice_crosses_the_encoding(model):
+    word = "▁aneder"
+    every = spellings(model, word)
+    total = np.logaddexp.reduce(list(every.values()))
+    steps = sp_codec.Steps(model, model.encode(["aneder"])[0])
+    found, edge = sp_codec.sample_paths(steps, 7, 10_000)
+    got = {tuple(steps.spelled(f[0]).tolist()): f[1] for f in found}
+    assert edge == -np.inf and set(got) == set(every) and {model.plain[p] for p in ("ane", "aned", "ned")} <= {p for w in got for p in w}
+    assert all(abs(got[w] - (x - total)) < 1e-8 for w, x in every.items())
+    first = collections.Counter(tuple(steps.spelled(sp_codec.sample_paths(steps, key, 1)[0][0][0]).tolist()) for key in range(3000))
+    assert all(abs(first[w] / 3000 - np.exp(p)) < 0.04 for w, p in got.items())
+
+
+def test_lattices_of_texts_are_independent(model):
+    texts = ["aneder  x", "", "日本 Ⅷ\n\U0001f600", "an " * 40, "aneder  x", "a" * 300]
+    keys = [1, 2, 3, 4, 1, 6]
+    together = sp_codec.Steps.over(model, [model.chunks(t) for t in texts])
+    for text, key, (found, edge) in zip(texts, keys, sp_codec.sample_texts(together, keys, 3), strict=True):
+        alone = sp_codec.Steps(model, model.encode([text])[0])
+        again, same = sp_codec.sample_paths(alone, key, 3)
+        assert edge == same and [f[1:] for f in found] == [f[1:] for f in again]
+        assert all(model.decode(together.spelled(f[0]).tolist()) == text for f in found)
+
+
 def test_codec_digest(spark):
     path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
     docs = spark.createDataFrame([(1, "some text here", 0), (2, None, 0), (3, "", 0), (None, "x", 0), (1, "some text here", 0)], "doc_id long, text string, ids int")

@@ -229,6 +229,24 @@ def test_mixing_meets_targets(spark):
     assert mixing.mixing_digest(docs.limit(0)).count() == 0
 
 
+def test_expected_sample_meets_targets(spark):
+    cells = {("a", "en"): 300, ("a", "de"): 20, ("b", "en"): 100, ("b", "de"): 180}
+    rows = [(i, "x", *cell) for i, cell in enumerate(c for c, n in cells.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    weight = F.sum(F.col("mix.probability") * mixing.tokens(F.col("text")))
+
+    def expected(mix, c):
+        out = mixing.with_probability(docs, mix)
+        assert out.agg(F.max("mix.probability")).first()[0] <= 1
+        return {r[0]: r[1] for r in out.groupBy(f"mix.{c}").agg(weight).collect()}
+
+    open_mix = mixing.Mix(temper=(1.0, 0.0, 1.0))  # factors would give cell (a, de) 1.48: the others make up for it
+    for c, target in (("source", {"a": 160, "b": 140}), ("lang", {"en": 150, "de": 150})):
+        assert all(abs(w / target[v] - 1) < 0.02 for v, w in expected(open_mix, c).items())
+    scarce = mixing.Mix(temper=(1.0, 0.0, 1.0), fraction=0.9)  # de has 200 of the 270 tokens: both get 200
+    assert all(abs(w / 200 - 1) < 0.02 for w in expected(scarce, "lang").values())
+
+
 @needs_tables
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, name):

@@ -1,8 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame functions only.
 
 Token counts are summed by cell (source, language, topic); sweeps over the three dimensions scale the cells until each
-marginal matches its target share; a cell's factor times the wanted fraction is the probability with which its documents
-are kept, decided for each document by a hash of its id.
+marginal matches its target share. A cell's documents are kept with a probability, decided for each document by a hash of
+its id. Probabilities are at most 1 inside of the fit: more sweeps scale weights whose values up to 1 count, until the
+expected sample has the target shares. The fraction is lowered to what the scarcest value allows (its tokens by its share of
+all); where cells rule out targets that single values would allow, the sample is as near as the sweeps come.
 
 Cells are a summary: only their table is joined back, broadcast where its written size is under Spark's threshold
 and shuffled otherwise. A source with a third of all rows is one row in it.
@@ -28,7 +30,7 @@ MISSING = "(none)"
 class Mix:
     """Target shares are the present shares to the power of `temper` (1 keeps them, 0 makes them equal).
 
-    fraction: of all tokens to keep where no probability is cut at 1; sweeps: rounds over the dimensions.
+    fraction: of all tokens to keep where the targets allow it; sweeps: rounds over the dimensions, of each of both fits.
     """
 
     temper: tuple[float, ...] = (0.5, 0.7, 0.7)
@@ -60,8 +62,8 @@ def dimension_columns(docs: DataFrame) -> dict[str, Column]:
     return {c: F.coalesce(given[c], F.lit(MISSING)) for c in DIMENSIONS}
 
 
-def rake(cells: DataFrame, mix: Mix, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """cells (source, lang, topic, tokens) with `factor`: how much each is to be scaled.
+def rake(cells: DataFrame, mix: Mix, targets: dict[str, DataFrame] | None = None, bounded: bool = False) -> DataFrame:
+    """cells (source, lang, topic, tokens) with `factor`, how much each is to be scaled, and if bounded `bounded`, its probability.
 
     targets: for a dimension, a table (value, share) instead of the tempered shares; values without a share go to 0.
     """
@@ -81,7 +83,19 @@ def rake(cells: DataFrame, mix: Mix, targets: dict[str, DataFrame] | None = None
             cells = cells.withColumn("now", now).withColumn("factor", F.when(F.col("now") > 0, F.col("factor") * F.col(f"share_{c}") * F.col("total") / F.col("now")).otherwise(0.0)).drop("now")
         if sweep % 4 == 3:
             cells = written(cells, "raked")
-    return cells.select(*DIMENSIONS, "factor")
+    if not bounded:
+        return cells.select(*DIMENSIONS, "factor")
+    cells = written(cells, "raked")
+    most = [cells.groupBy(c).agg((F.sum("tokens") / F.first(F.col(f"share_{c}") * F.col("total"))).alias("most"), F.first(f"share_{c}").alias("share")) for c in DIMENSIONS]
+    scarcest = most[0].union(most[1]).union(most[2]).where("share > 0").agg(F.least(F.lit(mix.fraction), F.min("most")).alias("limit"))
+    cells = written(cells.crossJoin(F.broadcast(scarcest)).withColumn("weight", F.col("factor") * F.col("limit")), "bounded")
+    for sweep in range(mix.sweeps):
+        for c in DIMENSIONS:
+            now = F.sum(F.least(F.lit(1.0), F.col("weight")) * F.col("tokens")).over(Window.partitionBy(c))
+            cells = cells.withColumn("now", now).withColumn("weight", F.when(F.col("now") > 0, F.col("weight") * F.col(f"share_{c}") * F.col("limit") * F.col("total") / F.col("now")).otherwise(0.0)).drop("now")
+        if sweep % 4 == 3:
+            cells = written(cells, "bounded")
+    return cells.select(*DIMENSIONS, "factor", F.least(F.lit(1.0), F.col("weight")).alias("bounded"))
 
 
 def uniform(doc_id: Column, seed: str) -> Column:
@@ -90,15 +104,18 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / 2**32
 
 
-def with_probability(docs: DataFrame, mix: Mix = Mix(), targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """docs with struct column `mix` (source, lang, topic, factor, probability, sampled) after their own columns."""
+def with_probability(docs: DataFrame, mix: Mix = Mix(), targets: dict[str, DataFrame] | None = None, bounded: bool = True) -> DataFrame:
+    """docs with struct column `mix` (source, lang, topic, factor, probability, sampled) after their own columns.
+
+    bounded=False cuts factor * fraction at 1 instead, as mixing_sql does; the sample then misses the targets of rare cells.
+    """
     names = {c: f"_{c}" for c in DIMENSIONS}
     columns = dimension_columns(docs)
     cells = docs.select(*[v.alias(c) for c, v in columns.items()], tokens(F.col("text")).alias("tokens")).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    raked = written(rake(cells, mix, targets).coalesce(1), "factors").withColumnsRenamed(names)
+    raked = written(rake(cells, mix, targets, bounded).coalesce(1), "factors").withColumnsRenamed(names)
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), *[v.alias(c) for c, v in columns.items()])
     on = [F.col(c) == F.col(n) for c, n in names.items()]
-    probability = F.least(F.lit(1.0), F.col("factor") * mix.fraction)
+    probability = F.col("bounded") if bounded else F.least(F.lit(1.0), F.col("factor") * mix.fraction)
     sampled = uniform(F.col("doc.doc_id"), mix.seed) < probability
     out = keyed.join(raked, on).select("doc.*", F.struct(*DIMENSIONS, "factor", probability.alias("probability"), sampled.alias("sampled")).alias("_mix"))
     return out.withColumnRenamed("_mix", "mix") if "mix" not in docs.columns else out
@@ -110,9 +127,9 @@ def sample_mix(docs: DataFrame, mix: Mix = Mix(), targets: dict[str, DataFrame]
     return out.where(out[out.columns[-1]]["sampled"]).select(*docs.columns)
 
 
-def mixing_digest(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """doc_id, source, lang, topic, probability (6 digits) and sampled of every document."""
-    out = with_probability(docs.select("doc_id", "text", "source", "lang"), mix)
+def mixing_digest(docs: DataFrame, mix: Mix = Mix(), bounded: bool = False) -> DataFrame:
+    """doc_id, source, lang, topic, probability (6 digits) and sampled of every document; unless bounded, as in mixing_sql."""
+    out = with_probability(docs.select("doc_id", "text", "source", "lang"), mix, bounded=bounded)
     return out.select("doc_id", "mix.source", "mix.lang", "mix.topic", F.round("mix.probability", 6).alias("probability"), "mix.sampled")
 
 

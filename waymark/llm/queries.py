@@ -62,6 +62,10 @@ def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_digest(read(spark, sf_dir, "documents"))
 
 
+def op7_mixing_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_digest(read(spark, sf_dir, "documents"), bounded=True)
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_digest(read(spark, sf_dir, "embeddings"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_html_extraction,
         op6_suffix_array_dedup,
         op7_mixing_sources,
+        op7_mixing_bounded,
         op8_embedding_near_dedup,
         op9_substring_dedup,
         op10_exact_top_k,

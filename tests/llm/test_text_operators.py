@@ -73,6 +73,43 @@ def test_jaccard_recursion(spark, monkeypatch):
     assert got == joined(DOCS, 3, Fraction(4, 5))
 
 
+def test_regions_of_one_task(monkeypatch):
+    r = random.Random(5)
+    base = [[r.randrange(10**9) for _ in range(60)] for _ in range(4)]
+    drawn = [np.unique([v if r.random() > 0.06 else r.randrange(10**9) for v in r.choice(base)]) for _ in range(300)]
+    links = {frozenset(x) for x in ngram_join.region_links(drawn, Fraction(4, 5))}
+    full = ngram_join.similar(drawn, drawn, Fraction(4, 5))[1]
+    assert all(full[min(x), max(x)] for x in links if len(x) == 2)
+
+    def groups(pairs):
+        root = list(range(len(drawn)))
+        for _ in drawn:
+            for i, j in pairs:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    assert groups([tuple(x) for x in links if len(x) == 2]) == groups(list(zip(*np.nonzero(full), strict=True)))
+
+
+@pytest.mark.parametrize("large", [64, 2])
+def test_large_cells(spark, monkeypatch, large):
+    monkeypatch.setattr(ngram_join, "LARGE_CELL", large)
+    monkeypatch.setattr(ngram_join.Cells, "of", classmethod(lambda cls, s: cls(1, 40, 0)))  # cells that mix unlike sets
+    r = random.Random(9)
+    common, rows = " ".join(f"c{i}" for i in range(60)), []
+    for i in range(40):
+        rows.append((i, common + " " + " ".join(f"u{r.randrange(10**6)}" for _ in range(r.randrange(1, 90)))))
+    rows += [(100 + i, rows[i][1] + " tail") for i in range(0, 40, 3)]
+    got = {tuple(x) for x in ngram_join.jaccard_components(frame(spark, rows), 3, Fraction(9, 10)).collect()}
+    assert got == joined(rows, 3, Fraction(9, 10))
+
+
+def test_ids_that_clash(spark):
+    rows = [(1, DOCS[0][1]), (2, "other words " * 9), (2, DOCS[0][1] + " tail"), (3, None)]
+    got = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(frame(spark, rows), 3, Fraction(9, 10)).collect())
+    assert got == [(1, 1), (2, 1), (2, 2), (3, 3)]
+
+
 def test_empty_tables(spark):
     empty = frame(spark, DOCS).limit(0)
     assert ngram_join.jaccard_components(empty).count() == 0

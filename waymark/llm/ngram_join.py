@@ -1,31 +1,35 @@
-"""N-gram Jaccard join: an exact self-join of documents in the metric space of their word-shingle sets.
+"""N-gram Jaccard join: a self-join of documents in the metric space of their word-shingle sets.
 
-Jaccard distance is a metric, and so is the size of the symmetric difference; both are used.
+Jaccard distance is a metric; cells, windows and settling below all follow from its triangle inequality.
 
 1. Equal sets are one *node* (a 64-bit hash of the set), so exact copies cost nothing further.
-2. Regions of possible neighbours. Two sets with similarity s or more differ in at most (1-s)/(1+s) * (|x|+|y|)
-   shingles. Sizes are cut into bands; a band's range is the ball around the empty set, and sets near its upper
-   bound are replicated into the next one (the triangle inequality through the empty set). In a band the shingle space
-   is cut into more classes than sets may differ in shingles, so similar sets agree wholly on some class: the
-   projections to a class are compared at distance 0. Documents far from all others share no class with anyone
-   and end here. Of the others, pivots meet the sets that share a class with them, and those that agree on as many
-   classes as similar sets must become one *family*.
-   Voronoi cells alone can't do this first cut: nearly all documents are at distance 1 from any pivot.
-3. Families are joined exactly by pivots. Distances of all sets to a few pivots are measured; sets that share a linked
+2. Random Voronoi cells make the first cut. Nearly all documents are at distance 1 from any pivot document, so the pivots of
+   this cut are shingles: under a random order of all shingles a set lies in the cell of its first shingle, and two
+   sets share that cell with probability equal to their similarity. A cell here is named by `rows` such orders at once, and
+   boundary documents are replicated into `cells` of them, as many as make the probability that a pair at the similarity
+   asked for meets in none of them less than MISS. Their number doesn't depend on the text's length.
+   In each cell a pivot document meets the others: pairs whose sketches (16 bits of each of some first shingles) agree
+   as often as similar sets must become one *family*, a region of the join. What else shares a cell becomes a region too.
+3. Regions are joined exactly by pivots. Distances of all sets to a few pivots are measured; sets that share a linked
    pivot, directly or through other sets, are connected and settled if theirs is the region's largest group. No pair of
    settled sets is needed, so copies aren't expanded into all pairs. Settled sets go to the Voronoi cell of their nearest
    pivot; an open set goes to the cell of its nearest pivot and, by the triangle inequality, to every cell whose
-   pivot is at most 2 * (1-s) farther away. Within a cell open sets meet settled ones in blocks. Open sets among
-   themselves are a smaller region, which joins recursively until a task can compare it.
+   pivot is at most 2 * (1-s) farther away. Within a cell open sets meet settled ones. Open sets among themselves are a
+   smaller region, which joins recursively. Regions of up to LEAF sets do this within a task, larger ones in Spark.
 4. Links become components.
 
+Links are exact but for hashing: shingles are 64-bit hashes, and MISS bounds what cells and sketches lose of each pair.
+
 Nulls and empty texts have the empty set, which links with nothing; repeated rows and ties fall into one node.
-Long texts are taken whole. Other columns of the input are ignored.
+Rows with a null doc_id link with nothing and have a null component. Rows that share a doc_id with other rows count as
+further texts. Long texts are taken whole. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -39,15 +43,37 @@ from .components import components
 from .scratch import likely_in, written
 
 U64 = np.uint64
-#: Share of classes beyond the least number: as many of a set's smallest classes, which say least, aren't named.
-SPARE = 4
-#: Ratio of a band's upper and lower bound.
-BAND = Fraction(3, 2)
+#: Probability that a pair at the similarity asked for meets in no cell; the same again that its sketches disagree.
+MISS = 1e-12
+#: First shingles whose 16 bits make a sketch.
+SKETCH = 128
 #: Sets that one task compares in one piece.
 LEAF = 512
 PIVOTS = 8
-#: Sets of one key that may become a region of their own.
-LARGE_KEY = 64
+#: Sets of one cell that may become a region of their own.
+LARGE_CELL = 64
+
+
+@dataclass(frozen=True)
+class Cells:
+    """`cells` cells of `rows` orders each, and the least number of sketch values that similar sets agree on."""
+
+    rows: int
+    cells: int
+    agree: int
+
+    @classmethod
+    def of(cls, similarity: float, miss: float = MISS) -> Cells:
+        rows = max(1, min(6, math.floor(math.log(0.4) / math.log(similarity)))) if similarity < 1 else 6
+        p = similarity**rows
+        cells = max(math.ceil(math.log(miss) / math.log1p(-p)) if p < 1 else 1, math.ceil(SKETCH / rows))
+        below, agree = 0.0, 0
+        while agree < SKETCH:  # the lower tail of a binomial distribution
+            below += math.comb(SKETCH, agree) * similarity**agree * (1 - similarity) ** (SKETCH - agree)
+            if below > miss:
+                break
+            agree += 1
+        return cls(rows, cells, agree)
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -70,135 +96,105 @@ def set_hash(shingles: np.ndarray) -> int:
     return int(tn.signed(tn.mix(np.array([total & (1 << 64) - 1], U64)))[0])
 
 
-def band_edges(limit: int) -> list[int]:
-    edges, at = [1], Fraction(8)
-    while edges[-1] <= limit:
-        edges.append(int(at))
-        at *= BAND
-    return edges
-
-
-def most_different(size_a: int, size_b: int, similarity: Fraction) -> int:
-    """Largest symmetric difference of two sets of these sizes that are similar enough."""
-    return int((1 - similarity) / (1 + similarity) * (size_a + size_b))
-
-
-def class_keys(shingles: np.ndarray, similarity: Fraction, edges: list[int]) -> list[tuple[int, int, np.ndarray, bytes]]:
-    """(band, least number of classes that similar sets agree on, 64-bit keys of regions, 16 bits of every class).
-
-    Similar but unequal sets have a band in common, and in it a key. With t + 1 + spare classes, sets that differ in t
-    shingles agree on spare + 1. Each set leaves out its `spare` smallest classes, ordered by size and content; what two
-    sets leave out of the classes they agree on is the same beginning of one order, so a class is left that both name.
-    """
-    n, out = len(shingles), []
-    home = int(np.searchsorted(edges, n, "right")) - 1
-    for band in range(home, len(edges) - 1):  # a band takes pairs whose larger set is in it
-        low, high = edges[band], edges[band + 1] - 1
-        if not n or band > home and n < similarity * low:
-            break
-        t = most_different(high, high, similarity)
-        if not t:
-            continue
-        spare = 2 + t // SPARE
-        k = t + 1 + spare
-        cls = ((tn.mix(shingles ^ U64(0xA5A5)) >> U64(33)) % U64(k)).astype(np.int64)
-        sums = np.zeros(k, U64)
-        np.add.at(sums, cls, tn.mix(shingles))
-        size = np.bincount(cls, minlength=k)
-        keys = tn.mix(sums + U64((band * 1_000_003 + 17) * tn.BASE & (1 << 64) - 1) + np.arange(k, dtype=U64) * U64(0xC2B2AE3D27D4EB4F))
-        out.append((band, spare + 1, keys[np.lexsort((keys, size))[spare:]], (keys >> U64(48)).astype("<u2").tobytes()))
-    return out
-
+def cell_keys(sets: list[np.ndarray], c: Cells) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the cells (sets, cells) and sketches (sets, SKETCH) of sets that aren't empty."""
+    starts = np.cumsum([0] + [len(s) for s in sets])[:-1]
+    flat = np.concatenate(sets)
+    salts = tn.mix(np.arange(1, c.rows * c.cells + 1, dtype=U64) * U64(tn.BASE)) | U64(1)
+    names, sketch = np.zeros((len(sets), c.cells), U64), np.zeros((len(sets), SKETCH), np.uint16)
+    for i, salt in enumerate(salts):
+        first = np.minimum.reduceat(flat * salt, starts)
+        names[:, i // c.rows] += tn.mix(first + U64(i))
+        if i < SKETCH:
+            sketch[:, i] = first * U64(tn.BASE) >> U64(48)
+    return tn.mix(names + np.arange(c.cells, dtype=U64) * U64(0xC2B2AE3D27D4EB4F)), sketch
 
-BANDS = "array<struct<band: int, need: int, keys: array<bigint>, sketch: binary>>"
 
-
-def _regions(words: int, similarity: Fraction):
+def _celled(words: int, c: Cells):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = band_edges(1 << 40)
-        lists = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
         for batch in batches:
             for part, texts in tn.slices(batch):
-                rows = [(len(s), set_hash(s), class_keys(s, similarity, edges)) for s in shingle_sets(texts, words)]
-                flat = [x for r in rows for x in r[2]]
-                keys = tn.signed(np.concatenate([np.zeros(0, U64), *[x[2] for x in flat]]))
-                bands = pa.StructArray.from_arrays(
-                    [pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), lists([len(x[2]) for x in flat], pa.array(keys)), pa.array([x[3] for x in flat], pa.binary())],
-                    names=["band", "need", "keys", "sketch"],
-                )
+                sets = list(shingle_sets(texts, words))
+                some = [s for s in sets if len(s)]
+                names, sketch = cell_keys(some, c) if some else (np.zeros((0, c.cells), U64), np.zeros((0, SKETCH), np.uint16))
+                ends, at = [0], 0
+                for s in sets:
+                    at += c.cells if len(s) else 0
+                    ends.append(at)
+                rows = iter(sketch)
+                sketches = [next(rows).astype("<u2").tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index("doc_id")), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), lists([len(r[2]) for r in rows], bands)],
-                    names=["doc_id", "n_shingles", "node", "bands"],
+                    [part.column(part.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())]
+                    + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tn.signed(names.ravel()))), pa.array(sketches, pa.binary())],
+                    names=["doc_id", "n_shingles", "node", "cells", "sketch"],
                 )
 
     return run
 
 
-def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that agree on as many classes as similar sets do."""
-    for batch in batches:
-        x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
-        agree = [int((np.frombuffer(a, np.uint16) == np.frombuffer(b, np.uint16)).sum()) for a, b in zip(x, y, strict=True)]
-        keep = pa.array(np.array(agree, np.int64) >= batch.column("need").to_numpy())
-        yield batch.select(["low", "node"]).filter(keep)
+def _plausible(agree: int, similarity: Fraction):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose sizes and sketches are those of sets that may be similar."""
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(len(batch), SKETCH) for i in (2, 3))
+            n, m = (batch.column(i).to_numpy() for i in (4, 5))
+            keep = (x == y).sum(axis=1) >= agree
+            keep &= similarity.denominator * np.minimum(n, m) >= similarity.numerator * np.maximum(n, m)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["low", "node"]).filter(pa.array(keep))
+
+    return run
 
 
-def _covering_regions(base: DataFrame, rounds: int = 3) -> DataFrame:
+def _covering_regions(nodes: DataFrame, c: Cells, similarity: Fraction, rounds: int = 2) -> DataFrame:
     """(region, node) rows such that any two similar sets are in one region at least.
 
-    Sets with a key in common are compared by their classes before any shingle is fetched. In each round every key's
-    pivot (of the smallest family there) meets the key's other sets; those that may be similar become one family, and
-    the pivot leaves. A key is done when the sets left in it are of one family; a small one that isn't done after the
-    rounds becomes a region of its own (one for each set of members), a large one merges the families that meet in it.
+    In each round the pivot of every cell (its smallest node) meets the cell's other sets; those that may be similar
+    become one family. A cell is done when its sets are of one family. Of the others small ones become regions of their
+    own (one for each set of members) and large ones choose another pivot, from a family that the first isn't of. Large
+    ones that are still not done merge the families that meet in them.
     """
-    sketched = base.select("node", F.explode("bands").alias("b")).select("node", "b.band", "b.need", "b.keys", "b.sketch")
-    rows = sketched.select("node", "band", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    open_keys = written(rows.join(shared, "key").distinct(), "keys")
-    nodes = open_keys.select("node", "band").distinct()
-    sketches = written(sketched.select("node", "band", "need", "sketch").join(nodes, ["node", "band"]).dropDuplicates(["node", "band"]), "sketches")
-    edges, family = None, None
-    for r in range(rounds):
-        of = open_keys.withColumns({"family": F.col("node"), "size": F.lit(1).cast("bigint")})
-        if family is not None:
-            of = open_keys.join(family, "node", "left").withColumns({"family": F.coalesce("family", "node"), "size": F.coalesce("size", F.lit(1))})
-        pivot = of.groupBy("key").agg(F.min(F.struct("size", "node")).alias("p"), F.min("family").alias("f0"), F.max("family").alias("f1")).where("f0 < f1").select("key", F.col("p.node").alias("low"))
-        open_keys = written(open_keys.join(pivot, "key"), "open")
-        if open_keys.isEmpty():
-            break
-        pairs = open_keys.where("node != low").select("band", "low", "node").distinct()
-        pairs = pairs.join(sketches.select(F.col("node").alias("low"), "band", "need", F.col("sketch").alias("x")), ["low", "band"])
-        pairs = pairs.join(sketches.select("node", "band", F.col("sketch").alias("y")), ["node", "band"])
-        found = pairs.select("low", "node", "need", "x", "y").mapInArrow(_plausible, "low bigint, node bigint")
-        edges = written(found if edges is None else edges.union(found), "plausible")
+    rows = nodes.select("node", F.explode("cells").alias("cell"))
+    shared = rows.groupBy("cell").agg(F.min("node").alias("low"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
+    cells = written(rows.join(shared, "cell"), "cells")
+    sketches = written(cells.select("node").distinct().join(nodes.select("node", "n_shingles", "sketch"), "node"), "sketches")
+    side = lambda k, v, n: sketches.select(F.col("node").alias(k), F.col("sketch").alias(v), F.col("n_shingles").alias(n))
+    edges, family, own, todo = None, None, [], cells
+    for _ in range(rounds):
+        pairs = todo.where("node != low").select("low", "node").distinct()
+        pairs = pairs.join(side("node", "y", "m"), "node").join(side("low", "x", "n"), "low").select("low", "node", "x", "y", "n", "m")
+        found = written(pairs.mapInArrow(_plausible(c.agree, similarity), "low bigint, node bigint"), "plausible")
+        edges = found if edges is None else edges.union(found)
         family = components(edges).select("node", F.col("component").alias("family"))
-        family = written(family.join(family.groupBy("family").agg(F.count("*").alias("size")), "family").select("node", "family", "size"), "families")
-        open_keys = open_keys.where("node != low").select("key", "band", "node")
-    of = open_keys if family is None else open_keys.join(family, "node", "left")
-    of = of.withColumn("family", F.coalesce("family", "node") if family is not None else F.col("node"))
-    code = F.xxhash64("node").cast("decimal(38,0)")
-    rest = of.groupBy("key").agg(F.sum(code).alias("members"), F.count("*").alias("n"), F.min("family").alias("f0"), F.max("family").alias("f1")).where("f0 < f1")
-    # large ones would repeat a group's sets for each of its keys: the families that meet in them become one instead
-    large = rest.where(F.col("n") > LARGE_KEY).select("key", "f0")
-    rest = rest.where(F.col("n") <= LARGE_KEY).groupBy("members", "n").agg(F.min("key").alias("key")).select("key")
-    rest = open_keys.join(rest, "key").select(F.xxhash64(F.lit("key"), "key").alias("region"), "node")
-    met = written(of.join(large, "key").select("node", "family", "f0").distinct(), "met")
-    merged = components(met.select("f0", "family").distinct()).select(F.col("node").alias("family"), "component")
-    member = met.select("node", "family")
-    member = member if family is None else member.union(family.select("node", "family"))
-    member = member.distinct().join(merged, "family", "left").select(F.xxhash64(F.lit("family"), F.coalesce("component", "family")).alias("region"), "node")
-    return member.union(rest)
+        of = todo.select("cell", "node", "n", "members").join(family, "node", "left").withColumn("family", F.coalesce("family", "node"))
+        mixed = of.groupBy("cell").agg(F.min("family").alias("f0"), F.max(F.struct("family", "node")).alias("f1")).where("f0 < f1.family").select("cell", "f0", F.col("f1.node").alias("low"))
+        todo = written(of.join(mixed, "cell"), "mixed")
+        own.append(todo.where(F.col("n") <= LARGE_CELL).select("cell", "node", "members"))
+        todo = todo.where(F.col("n") > LARGE_CELL)
+        if todo.isEmpty():
+            break
+    member = family.select("node", "family")
+    if not todo.isEmpty():
+        merged = components(todo.select("f0", "family").distinct()).select(F.col("node").alias("family"), "component")
+        member = member.union(todo.select("node", "family")).distinct().join(merged, "family", "left").select("node", F.coalesce("component", "family").alias("family"))
+    member = member.select(F.xxhash64(F.lit("family"), "family").alias("region"), "node")
+    for few in own:
+        member = member.union(few.select(F.xxhash64(F.lit("cell"), "members").alias("region"), "node").distinct())
+    return member
 
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sets of the nodes asked for; another text under the same doc_id has another node and is left out."""
         for batch in batches:
             for part, texts in tn.slices(batch):
-                sets = [tn.signed(s) for s in shingle_sets(texts, words)]
-                ends = np.cumsum([0] + [len(s) for s in sets])
+                sets, nodes = list(shingle_sets(texts, words)), part.column(part.schema.get_field_index("node")).to_numpy()
+                own = [i for i, s in enumerate(sets) if set_hash(s) == nodes[i]]
+                ends = np.cumsum([0] + [len(sets[i]) for i in own])
+                values = np.concatenate([np.zeros(0, np.int64), *[tn.signed(sets[i]) for i in own]])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index(c)) for c in ("node", "regions")]
-                    + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))],
+                    [part.column(part.schema.get_field_index(k)).take(pa.array(own, pa.int64())) for k in ("node", "regions")] + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))],
                     names=["node", "regions", "shingles"],
                 )
 
@@ -257,11 +253,44 @@ def _links_frame(a: list, b: list) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
+def main_group(linked: np.ndarray) -> np.ndarray:
+    """Of a matrix of sets and pivots: the sets that link to the pivots of the largest connected group."""
+    masks = linked @ (1 << np.arange(linked.shape[1]))
+    groups: list[int] = []
+    for m in np.unique(masks[masks > 0]).tolist():
+        groups = [g for g in groups if not g & m] + [m | sum(g for g in groups if g & m)]
+    weight = [int((masks & g != 0).sum()) for g in groups]
+    return masks & groups[int(np.argmax(weight))] != 0 if groups else np.zeros(len(linked), bool)
+
+
+def region_links(sets: list[np.ndarray], similarity: Fraction) -> list[tuple[int, int]]:
+    """Links of a region that connect all that is similar in it, by pivots, Voronoi cells and windows."""
+    eps, out = float(1 - similarity) + 1e-9, []
+    todo = np.arange(len(sets))
+    while len(todo) > 4 * PIVOTS:
+        d, linked = similar([sets[i] for i in todo], [sets[i] for i in todo[:PIVOTS]], similarity)
+        out += [(int(todo[i]), int(todo[j])) for i, j in zip(*np.nonzero(linked), strict=True) if i != j]
+        settled, opened = np.flatnonzero(main := main_group(linked)), np.flatnonzero(~main)
+        opened = opened[opened >= PIVOTS]  # pivots have met all others
+        near, cell = d.min(axis=1), d.argmin(axis=1)
+        for c in range(PIVOTS):
+            home, window = settled[cell[settled] == c], opened[d[opened, c] <= near[opened] + 2 * eps]
+            if len(home) and len(window):
+                _, hit = similar([sets[todo[i]] for i in window], [sets[todo[i]] for i in home], similarity)
+                some = np.flatnonzero(hit.any(axis=1))
+                out += [(int(todo[window[i]]), int(todo[home[j]])) for i, j in zip(some, hit[some].argmax(axis=1), strict=True)]
+        todo = todo[opened]
+    if len(todo) > 1:
+        rest = [sets[i] for i in todo]
+        out += [(int(todo[i]), int(todo[j])) for i, j in _spanning(similar(rest, rest, similarity)[1])]
+    return out
+
+
 def _leaf(similarity: Fraction):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """All sets of a region against each other."""
-        sets, nodes = [np.asarray(s, np.int64) for s in pdf["shingles"]], pdf["node"].to_numpy()
-        found = _spanning(similar(sets, sets, similarity)[1])
+        """All links that a region of one task needs."""
+        nodes = pdf["node"].to_numpy()
+        found = region_links([np.asarray(s, np.int64) for s in pdf["shingles"]], similarity)
         return _links_frame([nodes[i] for i, _ in found], [nodes[j] for _, j in found])
 
     return run
@@ -325,46 +354,46 @@ def metric_join(sets: DataFrame, similarity: Fraction, leaf: int = LEAF, depth:
     sets: node bigint, regions array<bigint>, shingles array<bigint>, one row for each node.
     """
     region = written(sets.select(F.explode("regions").alias("region"), "node", "shingles"), "region")
-    links = []
+    out = None
     eps = float(1 - similarity) + 1e-9
     keys = [F.xxhash64("node", F.lit(i)) for i in range(PIVOTS)]
     for level in range(depth + 1):
         sizes = written(region.groupBy("region").agg(F.count("*").alias("size")), "sizes")
         small = region.join(sizes.where((F.col("size") > 1) & (F.col("size") <= leaf)).select("region"), "region", "left_semi")
-        links.append(small.groupBy("region").applyInPandas(_leaf(similarity), "a bigint, b bigint"))
+        links = small.groupBy("region").applyInPandas(_leaf(similarity), "a bigint, b bigint")
         large = sizes.where(F.col("size") > leaf).select("region")
-        if large.isEmpty():
-            break
-        rest = region.join(large, "region", "left_semi")
-        if level == depth:
-            links.append(_in_blocks(rest, rest, similarity, leaf, True))
+        last = large.isEmpty()
+        if not last:
+            rest = region.join(large, "region", "left_semi")
+            if last := level == depth:
+                links = links.union(_in_blocks(rest, rest, similarity, leaf, True))
+            else:
+                # pivots: the sets with the least of some hashes
+                chosen = rest.groupBy("region").agg(*[F.min(F.struct(k.alias("h"), "node")).alias(f"p{i}") for i, k in enumerate(keys)])
+                chosen = chosen.select("region", F.explode(F.array_distinct(F.array(*[f"p{i}.node" for i in range(PIVOTS)]))).alias("node"))
+                pivots = rest.join(chosen, ["region", "node"]).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("node", "shingles"))).alias("pivots"))
+                schema = "region bigint, node bigint, shingles array<bigint>, pivot_nodes array<bigint>, d array<double>, linked array<boolean>"
+                measured = rest.join(pivots, "region").mapInArrow(_distances(similarity), schema)
+                mask = F.aggregate(F.transform("linked", lambda hit, i: F.when(hit, F.pow(F.lit(2), i).cast("int")).otherwise(0)), F.lit(0), lambda x, y: x + y)
+                measured = written(measured.withColumn("mask", mask), "pivots")
+                hit = F.explode(F.filter(F.arrays_zip("pivot_nodes", "linked"), lambda p: p["linked"]))
+                links = links.union(measured.select("node", hit.alias("p")).where("node != p.pivot_nodes").select(F.col("node").alias("a"), F.col("p.pivot_nodes").alias("b")))
+                groups = measured.groupBy("region", "mask").agg(F.count("*").alias("n")).groupBy("region").applyInPandas(_main_groups, "region bigint, mask int, main boolean")
+                split = measured.join(groups, ["region", "mask"])
+                # Voronoi cells: a settled set is in its own, an open one in every cell within its window too
+                near = F.array_min("d")
+                cell = lambda c: F.xxhash64("region", c, F.lit(level)).alias("region")
+                settled = split.where("main").select(cell(F.array_position("d", near)), "node", "shingles")
+                opened = written(split.where("not main and not array_contains(pivot_nodes, node)"), "open")  # pivots have met all others
+                within = F.filter(F.transform("d", lambda x, i: F.when(x <= near + 2 * eps, (i + 1).cast("bigint"))), lambda i: i.isNotNull())
+                window = opened.select("*", F.explode(within).alias("_cell")).select(cell(F.col("_cell")), "node", "shingles")
+                links = links.union(_in_blocks(window, settled, similarity, leaf, False))
+                region = opened.select("region", "node", "shingles")
+        links = written(links, "found")
+        out = links if out is None else out.union(links)
+        if last:
             break
-        # pivots: the sets with the least of some hashes; the hash is renewed with each level as regions change
-        chosen = rest.groupBy("region").agg(*[F.min(F.struct(k.alias("h"), "node")).alias(f"p{i}") for i, k in enumerate(keys)])
-        chosen = chosen.select("region", F.explode(F.array_distinct(F.array(*[f"p{i}.node" for i in range(PIVOTS)]))).alias("node"))
-        pivots = rest.join(chosen, ["region", "node"]).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("node", "shingles"))).alias("pivots"))
-        schema = "region bigint, node bigint, shingles array<bigint>, pivot_nodes array<bigint>, d array<double>, linked array<boolean>"
-        measured = rest.join(pivots, "region").mapInArrow(_distances(similarity), schema)
-        mask = F.aggregate(F.transform("linked", lambda hit, i: F.when(hit, F.pow(F.lit(2), i).cast("int")).otherwise(0)), F.lit(0), lambda x, y: x + y)
-        measured = written(measured.withColumn("mask", mask), "pivots")
-        hit = F.explode(F.filter(F.arrays_zip("pivot_nodes", "linked"), lambda p: p["linked"]))
-        links.append(measured.select("node", hit.alias("p")).where("node != p.pivot_nodes").select(F.col("node").alias("a"), F.col("p.pivot_nodes").alias("b")))
-        groups = measured.groupBy("region", "mask").agg(F.count("*").alias("n")).groupBy("region").applyInPandas(_main_groups, "region bigint, mask int, main boolean")
-        split = measured.join(groups, ["region", "mask"])
-        # Voronoi cells: a settled set is in its own, an open one in every cell within its window too
-        near = F.array_min("d")
-        cell = lambda c: F.xxhash64("region", c, F.lit(level)).alias("region")
-        own = F.array_position("d", near)
-        settled = split.where("main").select(cell(own), "node", "shingles")
-        opened = split.where("not main")
-        within = F.filter(F.transform("d", lambda x, i: F.when(x <= near + 2 * eps, (i + 1).cast("bigint"))), lambda i: i.isNotNull())
-        window = opened.select("*", F.explode(within).alias("_cell")).select(cell(F.col("_cell")), "node", "shingles")
-        links.append(_in_blocks(window, settled, similarity, leaf, False))
-        region = written(opened.select("region", "node", "shingles"), "region")
-    out = links[0]
-    for more in links[1:]:
-        out = out.union(more)
-    return written(out, "found")
+    return out
 
 
 def _in_blocks(one: DataFrame, two: DataFrame, similarity: Fraction, leaf: int, same: bool) -> DataFrame:
@@ -391,13 +420,15 @@ def jaccard_join(docs: DataFrame, words: int = 5, similarity: float | Fraction =
     docs: doc_id bigint, text string. similarity may be a Fraction for an exact bound.
     """
     similarity = Fraction(similarity).limit_denominator(10_000)
+    c = Cells.of(float(similarity))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    base = written(docs.mapInArrow(_regions(words, similarity), f"doc_id bigint, n_shingles bigint, node bigint, bands {BANDS}"), "sets")
-    regions = written(_covering_regions(base), "regions")
-    member = regions.groupBy("node").agg(F.collect_list("region").alias("regions"))
-    first = base.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(member, "node")
-    first = written(first, "members")
-    texts = likely_in(docs, "doc_id", first.select("doc_id")).join(first, "doc_id").dropDuplicates(["node"])
+    base = written(docs.mapInArrow(_celled(words, c), "doc_id bigint, n_shingles bigint, node bigint, cells array<bigint>, sketch binary"), "sets")
+    named = base.where("n_shingles > 0 and doc_id is not null")
+    first = [F.first(k).alias(k) for k in ("n_shingles", "cells", "sketch")]
+    nodes = written(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *first), "nodes")
+    member = _covering_regions(nodes, c, similarity).groupBy("node").agg(F.collect_set("region").alias("regions"))
+    asked = written(nodes.select("node", "doc_id").join(member, "node"), "members")
+    texts = likely_in(docs, "doc_id", asked.select("doc_id")).join(asked, "doc_id")
     sets = texts.select("node", "regions", "text").mapInArrow(_sets(words), "node bigint, regions array<bigint>, shingles array<bigint>")
     return base.select("doc_id", "n_shingles", "node"), metric_join(sets, similarity)
 
@@ -406,10 +437,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, similarity: float | Frac
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach (its own without any)."""
     member, links = jaccard_join(docs, words, similarity)
     roots = components(links).select("node", F.col("component").alias("root"))
-    own = F.when(F.col("n_shingles") == 0, F.struct(F.lit(0).alias("kind"), F.col("doc_id").alias("of")))
-    grouped = member.join(roots, "node", "left").withColumn("group", F.coalesce(own, F.struct(F.lit(1).alias("kind"), F.coalesce("root", "node").alias("of"))))
-    least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return grouped.join(least, "group").select("doc_id", "n_shingles", "component_id")
+    lone = F.col("n_shingles") == 0
+    named = member.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    of_node = named.join(least, "root").select("node", "component")
+    out = member.join(of_node, "node", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(lone, F.col("doc_id")).otherwise(F.col("component"))).alias("component_id"))
 
 
 __all__ = ["jaccard_components", "jaccard_join", "metric_join"]

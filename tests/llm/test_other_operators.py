@@ -197,20 +197,27 @@ def test_lattice_points_are_nearest():
         assert (((x - p) ** 2).sum(1) <= ((x - p - v) ** 2).sum(1) + 1e-9).all()
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize(("size", "block"), [(64, 50_000), (100, 50_000), (64, 9)])
+def test_top_k(spark, monkeypatch, size, block):
+    monkeypatch.setattr(hamming_topk, "BLOCK", block)
     rng = np.random.default_rng(5)
-    arrays = rng.standard_normal((150, 64)).tolist()
+    arrays = rng.standard_normal((150, size)).tolist()
     arrays += [arrays[0]] * 15 + [None, [None] * 64, [1.0] * 10]
     df = vectors(spark, arrays)
+    df = df.union(df.where("vec_id < 4"))  # repeated rows
     got = collections.defaultdict(list)
     for r in hamming_topk.search_digest(df, 10, 20).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["distance"], r["vec_id"]))
-    bits = {i: np.array([(a[j] or 0) > 0 if j < len(a) else False for j in range(64)]) for i, a in enumerate(arrays) if a is not None and None not in a}
+    bits = {i: np.array([(a[j] or 0) > 0 if j < len(a) else False for j in range(size)]) for i, a in enumerate(arrays) if a is not None and None not in a}
     for q in (i for i in bits if i % 20 == 0):
         assert got[q] == sorted((int((bits[q] != b).sum()), i) for i, b in bits.items() if i != q)[:10]
     assert set(got) == {i for i in bits if i % 20 == 0}
-    few = vectors(spark, arrays[:3])
+
+
+def test_top_k_of_few(spark):
+    few = vectors(spark, np.random.default_rng(5).standard_normal((3, 64)).tolist())
     assert hamming_topk.search_digest(few, 10, 1).count() == 6
+    assert hamming_topk.search_digest(few.limit(1), 10, 1).count() == 0
     assert hamming_topk.search_digest(few.limit(0)).count() == 0
 
 

@@ -190,6 +190,19 @@ def test_embedding_blocks_and_empty(spark):
     assert embed_dedup.embedding_digest(vectors(spark, arrays).limit(0)).count() == 0
 
 
+def test_embedding_recall(spark):
+    """Planted neighbours at and above the threshold, through the whole query."""
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(rng.standard_normal((400, 64)))
+    cos = rng.uniform(0.931, 0.99, 400)[:, None]
+    away = unit(rng.standard_normal((400, 64)))
+    away = unit(away - (away * base).sum(1, keepdims=True) * base)
+    near = base * cos + away * np.sqrt(1 - cos**2)
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.embedding_digest(vectors(spark, np.concatenate([base, near]).tolist())).collect()}
+    assert sum(got.values()) >= 0.99 * 800 and max(got.values()) == 1
+
+
 def test_lattice_points_are_nearest():
     x = np.random.default_rng(0).standard_normal((50, 8)) * 3
     p = embed_dedup.nearest_e8(x)

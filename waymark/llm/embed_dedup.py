@@ -101,16 +101,19 @@ def cells(unit: np.ndarray, label: np.ndarray, lattice: Lattice) -> tuple[np.nda
     return np.stack(home, axis=1), np.concatenate(probed, axis=1)
 
 
-def _vectors(column: pa.Array) -> list[np.ndarray | None]:
-    out = []
-    for v in column.to_pylist():
-        x = None if v is None or None in v or not v else np.array(v, np.float64)
-        if x is not None and (not np.isfinite(x).all() or not (norm := np.linalg.norm(x / (np.abs(x).max() or 1)))):
-            x = None
-        elif x is not None:
-            x = x / np.abs(x).max() / norm
-        out.append(x)
-    return out
+def _rows(column: pa.Array, at: np.ndarray, width: int) -> np.ndarray:
+    """The lists at these places, all of this length, as a matrix of doubles; nulls become NaN."""
+    return column.take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(at), width)
+
+
+def _lists(matrix: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]), pa.array(np.ascontiguousarray(matrix).ravel()))
+
+
+def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    for width in np.unique(lengths[lengths > 0]).tolist():
+        yield width, np.flatnonzero(lengths == width)
 
 
 def _hashed(lattice: Lattice):
@@ -119,31 +122,34 @@ def _hashed(lattice: Lattice):
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                ids, labels = part.column("vec_id").to_pylist(), part.column("label").to_pylist()
-                found = [(i, x, y) for i, x, y in zip(ids, _vectors(part.column("embedding")), labels, strict=True) if x is not None]
-                for _, group in itertools.groupby(sorted(found, key=lambda f: len(f[1])), key=lambda f: len(f[1])):
-                    own, unit, label = zip(*group, strict=True)
-                    home, probed = cells(np.stack(unit), np.array(label, np.int64), lattice)
+                for width, rows in _by_length(part.column("embedding")):
+                    x = _rows(part.column("embedding"), rows, width)
+                    good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+                    x, rows = x[good], rows[good]
+                    if not len(rows):
+                        continue
+                    x = x / np.abs(x).max(axis=1)[:, None]
+                    unit = x / np.linalg.norm(x, axis=1)[:, None]
+                    home, probed = cells(unit, part.column("label").to_numpy()[rows], lattice)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(own, pa.int64()), pa.array([u.tolist() for u in unit], pa.list_(pa.float64()))]
-                        + [pa.array(c.view(np.int64).tolist(), pa.list_(pa.int64())) for c in (home, probed)],
+                        [part.column("vec_id").take(pa.array(rows)), _lists(unit), _lists(home.view(np.int64)), _lists(probed.view(np.int64))],
                         names=["vec_id", "unit", "home", "probed"],
                     )
 
     return run
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
 def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Appends cos, the inner product of columns x and y."""
+    """Appends cos, the inner product of columns x and y; vectors of different dimensions have none above -2."""
     for batch in batches:
         keep = [c for c in batch.schema.names if c not in ("x", "y")]
-        x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-        cos = [float(np.dot(a, b)) for a, b in zip(map(np.array, x), map(np.array, y), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(cos, pa.float64())], names=[*keep, "cos"])
+        x, y = batch.column("x"), batch.column("y")
+        cos = np.full(len(batch), -2.0)
+        other = y.value_lengths().to_numpy(zero_copy_only=False)
+        for width, rows in _by_length(x):
+            rows = rows[other[rows] == width]
+            cos[rows] = np.einsum("ij,ij->i", _rows(x, rows, width), _rows(y, rows, width))
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(cos)], names=[*keep, "cos"])
 
 
 def with_cosine(pairs: DataFrame) -> DataFrame:
@@ -165,25 +171,28 @@ def _block(least: float):
 
 
 def _classes(base: DataFrame, angle: float, rounds: int) -> DataFrame:
-    """(vec_id, leader, away): away is the angle to the leader, at most angle / 2; leaders lead themselves."""
-    known = base.select("vec_id", F.col("vec_id").alias("leader"), F.lit(0.0).alias("away"), F.lit(1).cast("bigint").alias("size"))
+    """base with leader, away (the angle to the leader, at most angle / 2) and, at leaders, size; leaders lead themselves.
+
+    In a round a lone vector joins the leader of its home cell, which is the one with the largest class; as a vector has one
+    home cell in each table, that leader stays.
+    """
+    known = base.withColumns({"leader": F.col("vec_id"), "away": F.lit(0.0), "size": F.lit(1).cast("bigint")})
     least = math.cos(angle / 2) + 1e-12
     for t in range(rounds):
-        vectors = base.select("vec_id", "unit", F.col("home")[t].alias("cell")).join(known, "vec_id")
-        lead = vectors.where("vec_id = leader")
-        best = lead.groupBy("cell").agg(F.min(F.struct(-F.col("size"), F.col("vec_id"))).alias("b"), F.count("*").alias("meet")).where("meet > 1")
-        best = best.select("cell", F.col("b.vec_id").alias("to")).join(lead.select(F.col("vec_id").alias("to"), F.col("unit").alias("y")), "to")
-        moved = lead.where("size = 1").join(best, "cell").where("vec_id != to").select("vec_id", "to", F.col("unit").alias("x"), "y")
-        moved = with_cosine(moved).where(F.col("cos") >= least).select("vec_id", "to", F.acos(F.least("cos", F.lit(1.0))).alias("angle"))
-        # a vector that others join stays where it is
-        moved = moved.join(moved.select(F.col("to").alias("vec_id")).distinct(), "vec_id", "left_anti")
-        known = known.join(moved, "vec_id", "left").select("vec_id", F.coalesce("to", "leader").alias("leader"), F.coalesce("angle", "away").alias("away"))
-        sizes = known.groupBy("leader").agg(F.count("*").alias("size"))
-        known = written(known.join(sizes, "leader"), "classes")
+        lead = known.where("vec_id = leader").select("vec_id", "unit", "size", F.col("home")[t].alias("cell"))
+        best = lead.groupBy("cell").agg(F.min(F.struct(-F.col("size"), F.col("vec_id"), F.col("unit"))).alias("b"), F.count("*").alias("meet")).where("meet > 1")
+        pairs = lead.where("size = 1").join(best, "cell").where("vec_id != b.vec_id").select("vec_id", F.col("b.vec_id").alias("to"), F.col("unit").alias("x"), F.col("b.unit").alias("y"))
+        moved = with_cosine(pairs).where(F.col("cos") >= least).select("vec_id", "to", F.acos(F.least("cos", F.lit(1.0))).alias("angle"))
+        moved = written(moved, "moved")
+        grown = moved.groupBy(F.col("to").alias("vec_id")).agg(F.count("*").alias("more"))
+        known = known.join(moved, "vec_id", "left").join(grown, "vec_id", "left")
+        size = F.when(F.col("to").isNull(), F.col("size") + F.coalesce("more", F.lit(0)))
+        known = known.select("vec_id", "unit", "home", "probed", F.coalesce("to", "leader").alias("leader"), F.coalesce("angle", "away").alias("away"), size.alias("size"))
+        known = written(known, "classes")
     return known
 
 
-def lattice_links(vectors: DataFrame, threshold: float = 0.93, lattice: Lattice = Lattice(), pairwise: int = 4096, block: int = 512) -> tuple[DataFrame, DataFrame]:
+def lattice_links(vectors: DataFrame, threshold: float = 0.93, lattice: Lattice = Lattice(), pairwise: int = 4096, block: int = 512, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """(counts, links): counts is (vec_id, n_links) of vectors that link; links (a, b) connect what is linked.
 
     vectors: vec_id bigint, embedding array of numbers, label int. `pairwise` bounds the member pairs that two classes
@@ -194,14 +203,13 @@ def lattice_links(vectors: DataFrame, threshold: float = 0.93, lattice: Lattice
     usable = usable.where("vec_id is not null and label is not null and embedding is not null").dropDuplicates(["vec_id"])
     schema = "vec_id bigint, unit array<double>, home array<bigint>, probed array<bigint>"
     base = written(usable.mapInArrow(_hashed(lattice), schema), "cells")
-    member = written(_classes(base, angle, min(4, lattice.tables)), "member")
-    groups = member.groupBy("leader").agg(F.count("*").alias("size"), F.max("away").alias("radius"))
+    member = _classes(base, angle, min(rounds, lattice.tables))
 
-    of = base.join(member.select("vec_id", "leader"), "vec_id")
-    homes = of.select(F.explode("home").alias("cell"), F.col("leader").alias("a")).distinct()
-    visits = of.select(F.explode("probed").alias("cell"), F.col("leader").alias("b")).distinct()
+    homes = member.select(F.explode("home").alias("cell"), F.col("leader").alias("a")).distinct()
+    visits = member.select(F.explode("probed").alias("cell"), F.col("leader").alias("b")).distinct()
     met = homes.join(visits, "cell").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    leads = base.join(groups, base["vec_id"] == groups["leader"]).select("leader", "unit", "size", "radius")
+    radius = member.groupBy("leader").agg(F.max("away").alias("radius"))
+    leads = written(member.where("vec_id = leader").select("leader", "unit", "size").join(radius, "leader"), "leaders")
     side = lambda k, v: leads.select(F.col("leader").alias(k), F.col("unit").alias(v), F.col("size").alias(f"size_{k}"), F.col("radius").alias(f"radius_{k}"))
     pairs = with_cosine(met.join(side("a", "x"), "a").join(side("b", "y"), "b"))
     spread = F.col("radius_a") + F.col("radius_b")
@@ -217,31 +225,35 @@ def lattice_links(vectors: DataFrame, threshold: float = 0.93, lattice: Lattice
 
     whole = pairs.where("verdict = 'all'")
     by_class = whole.select(F.col("a").alias("leader"), F.col("size_b").alias("n")).union(whole.select("b", "size_a"))
-    by_class = by_class.union(groups.where("size > 1").select("leader", F.col("size") - 1)).groupBy("leader").agg(F.sum("n").alias("n"))
-    counts = member.join(by_class, "leader").select("vec_id", "n")
+    by_class = by_class.union(leads.where("size > 1").select("leader", F.col("size") - 1)).groupBy("leader").agg(F.sum("n").alias("n"))
+    counts = member.select("vec_id", "leader").join(by_class, "leader").select("vec_id", "n")
     links = whole.select("a", "b").union(member.where("leader != vec_id").select("leader", "vec_id"))
 
     some = pairs.where("verdict = 'some'")
-    units = base.join(member.select("vec_id", "leader"), "vec_id").select("vec_id", "leader", "unit")
-    left = units.select(F.col("vec_id").alias("p"), F.col("leader").alias("a"), F.col("unit").alias("x"))
-    right = units.select(F.col("vec_id").alias("q"), F.col("leader").alias("b"), F.col("unit").alias("y"))
-    few = some.where(F.col("size_a") * F.col("size_b") <= pairwise).select("a", "b").join(left, "a").join(right, "b")
-    few = written(with_cosine(few.select("p", "q", "x", "y")).where(F.col("cos") >= threshold).select("p", "q"), "few")
-    links = links.union(few)
-    counts = counts.union(few.select("p", F.lit(1).cast("bigint"))).union(few.select("q", F.lit(1).cast("bigint")))
-
-    many = some.where(F.col("size_a") * F.col("size_b") > pairwise)
-    many = many.select("a", "b", F.explode(F.sequence(F.lit(0), F.floor((F.col("size_a") - 1) / block))).alias("i"), "size_b")
-    many = many.select("a", "b", "i", F.explode(F.sequence(F.lit(0), F.floor((F.col("size_b") - 1) / block))).alias("j"))
-    dealt = units.join(groups.select("leader", "size"), "leader").select("vec_id", "leader", "unit", F.pmod(F.xxhash64("vec_id"), F.floor((F.col("size") - 1) / block) + 1).alias("part"))
-    keys = ["a", "b", "i", "j"]
-    one = many.join(dealt.select("vec_id", "unit", F.col("leader").alias("a"), F.col("part").alias("i")), ["a", "i"]).select(*keys, "vec_id", "unit")
-    two = many.join(dealt.select("vec_id", "unit", F.col("leader").alias("b"), F.col("part").alias("j")), ["b", "j"]).select(*[F.col(c).alias(c) for c in (*keys, "vec_id", "unit")])
-    found = one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInPandas(_block(threshold), "vec_id bigint, n bigint, partner bigint")
-    found = written(found, "blocks")
-    links = links.union(found.select("vec_id", "partner"))
-    counts = counts.union(found.select("vec_id", "n")).groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    return counts, links
+    product = F.col("size_a") * F.col("size_b")
+    units = member.select("vec_id", "leader", "unit")
+    few = some.where(product <= pairwise).select("a", "b")
+    if not few.isEmpty():
+        left = units.select(F.col("vec_id").alias("p"), F.col("leader").alias("a"), F.col("unit").alias("x"))
+        right = units.select(F.col("vec_id").alias("q"), F.col("leader").alias("b"), F.col("unit").alias("y"))
+        few = few.join(left, "a").join(right, "b")
+        few = written(with_cosine(few.select("p", "q", "x", "y")).where(F.col("cos") >= threshold).select("p", "q"), "few")
+        links = links.union(few)
+        counts = counts.union(few.select("p", F.lit(1).cast("bigint"))).union(few.select("q", F.lit(1).cast("bigint")))
+
+    many = some.where(product > pairwise)
+    if not many.isEmpty():
+        many = many.select("a", "b", F.explode(F.sequence(F.lit(0), F.floor((F.col("size_a") - 1) / block))).alias("i"), "size_b")
+        many = many.select("a", "b", "i", F.explode(F.sequence(F.lit(0), F.floor((F.col("size_b") - 1) / block))).alias("j"))
+        dealt = units.join(leads.select("leader", "size"), "leader").select("vec_id", "leader", "unit", F.pmod(F.xxhash64("vec_id"), F.floor((F.col("size") - 1) / block) + 1).alias("part"))
+        keys = ["a", "b", "i", "j"]
+        one = many.join(dealt.select("vec_id", "unit", F.col("leader").alias("a"), F.col("part").alias("i")), ["a", "i"]).select(*keys, "vec_id", "unit")
+        two = many.join(dealt.select("vec_id", "unit", F.col("leader").alias("b"), F.col("part").alias("j")), ["b", "j"]).select(*[F.col(c).alias(c) for c in (*keys, "vec_id", "unit")])
+        found = one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInPandas(_block(threshold), "vec_id bigint, n bigint, partner bigint")
+        found = written(found, "blocks")
+        links = links.union(found.select("vec_id", "partner"))
+        counts = counts.union(found.select("vec_id", "n"))
+    return counts.groupBy("vec_id").agg(F.sum("n").alias("n_links")), links
 
 
 def embedding_digest(vectors: DataFrame, threshold: float = 0.93, lattice: Lattice = Lattice()) -> DataFrame:

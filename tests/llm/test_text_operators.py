@@ -110,6 +110,19 @@ def test_ids_that_clash(spark):
     assert got == [(1, 1), (2, 1), (2, 2), (3, 3)]
 
 
+def test_repeats_in_rows_that_share_an_id(spark):
+    r = random.Random(2)
+    p = " ".join(f"p{r.randrange(10**6)}" for _ in range(120))
+    other = " ".join(f"o{r.randrange(10**6)}" for _ in range(110))
+    rows = [(1, p), (2, other), (2, p + " tail"), (2, p + " tail"), (3, other + " end")]
+    size = len(p.encode())
+    got = sorted((x["doc_id"], x["n_bytes"], x["n_removed"]) for x in suffix_dedup.suffix_digest(frame(spark, rows)).collect())
+    n = len(other.encode())
+    assert got == sorted([(1, size, size), (2, n, n), (2, size + 5, size + 5), (2, size + 5, size + 5), (3, n + 4, n)])
+    got = sorted((x["doc_id"], x["n_words"], x["n_removed"]) for x in window_dedup.window_digest(frame(spark, rows)).collect())
+    assert got == sorted([(1, 120, 0), (2, 110, 0), (2, 121, 120), (2, 121, 120), (3, 111, 110)])
+
+
 def test_empty_tables(spark):
     empty = frame(spark, DOCS).limit(0)
     assert ngram_join.jaccard_components(empty).count() == 0

@@ -89,11 +89,18 @@ def _stat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in tn.slices(batch):
             stats = pa.array(statistics(texts).tolist(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), stats], names=["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in ("doc_id", "row")), stats], names=["doc_id", "row", "stats"])
+
+
+def row_key(docs: DataFrame) -> F.Column:
+    """A hash of doc_id and text: rows that share a doc_id are judged each by its own text."""
+    return F.xxhash64(docs["doc_id"].cast("bigint"), docs["text"])
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_stat_rows, "doc_id bigint, stats array<double>")
+    """doc_id, row (see row_key), stats."""
+    keyed = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), row_key(docs).alias("row"), "text")
+    return keyed.mapInArrow(_stat_rows, "doc_id bigint, row bigint, stats array<double>")
 
 
 class Kernel:
@@ -155,15 +162,15 @@ class QualityModel:
         self.kernel, self.weights, self.curve = kernel, weights, curve
 
     def score(self, stats: DataFrame) -> DataFrame:
-        """(doc_id, score) from (doc_id, stats); at equal calibrated values the raw score still orders."""
+        """(doc_id, row, score) from (doc_id, row, stats); at equal calibrated values the raw score still orders."""
         if self.kernel is None:
-            return stats.select("doc_id", F.lit(self.curve[0]).alias("score"))
-        raw = stats.mapInArrow(_raw_scores(self.kernel, self.weights, ["doc_id"]), "doc_id bigint, raw double")
+            return stats.select("doc_id", "row", F.lit(self.curve[0]).alias("score"))
+        raw = stats.mapInArrow(_raw_scores(self.kernel, self.weights, ["doc_id", "row"]), "doc_id bigint, row bigint, raw double")
         at = _bin(F.col("raw"))
         curve = F.array(*[F.lit(float(c)) for c in self.curve])
         level = F.element_at(curve, at + 1)
         squashed = F.least(F.greatest((F.col("raw") + 1) / 3, F.lit(0.0)), F.lit(1.0))
-        return raw.select("doc_id", (level * 0.998 + squashed * 0.002).alias("score"))
+        return raw.select("doc_id", "row", (level * 0.998 + squashed * 0.002).alias("score"))
 
 
 def _bin(raw) -> F.Column:
@@ -207,8 +214,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier accepts, unchanged. Texts aren't shuffled: the model scores them in place."""
     stats = written(document_statistics(docs), "stats")
     model = fit_quality(stats, labels)
-    rejected = model.score(stats).where(F.col("score") < ACCEPT).select("doc_id").distinct()
-    return docs.join(rejected.select(F.col("doc_id").alias("_id")), docs["doc_id"] == F.col("_id"), "left_anti")
+    rejected = model.score(stats).where(F.col("score") < ACCEPT).select(F.col("row").alias("_row")).distinct()
+    return docs.join(rejected, row_key(docs) == F.col("_row"), "left_anti")
 
 
 __all__ = ["QualityModel", "fit_quality", "keep_good", "score_quality"]

@@ -15,7 +15,8 @@ windows or so, are what Spark shuffles:
 
 Each count is a grouped aggregate with partial sums, so a passage in a third of all texts is a few rows for each
 task. Equality is that of 64-bit hashes. Texts are taken whole; windows never cross texts. Null or short texts have
-no windows. Rows with a null doc_id take no part. Rows that repeat a doc_id count as further texts.
+no windows. Rows with a null doc_id take no part. A row's key is a hash of its doc_id and text, so rows that repeat a
+doc_id count as further texts, and equal rows have equal spans.
 """
 
 from __future__ import annotations
@@ -91,8 +92,8 @@ def _run_rows(w: Windows):
         for batch in batches:
             for part, texts in tn.slices(batch):
                 text, pos, n, lead, anchor, content = anchored_runs(*w.codes(texts), w)
-                ids = part.column(part.schema.get_field_index("doc_id")).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(pos), pa.array(n, pa.int32()), pa.array(lead, pa.int32()), pa.array(anchor), pa.array(content)], names=["doc_id", "pos", "n", "lead", "anchor", "content"])
+                ids = [part.column(part.schema.get_field_index(c)).take(pa.array(text)) for c in ("row", "order")]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(pos), pa.array(n, pa.int32()), pa.array(lead, pa.int32()), pa.array(anchor), pa.array(content)], names=["row", "order", "pos", "n", "lead", "anchor", "content"])
 
     return run
 
@@ -113,8 +114,8 @@ def _window_rows(w: Windows):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hashes[(bounds[text] + pos)[row] + offset])]
                     + [flat.field(c).take(pa.array(row)) for c in ("anchor", "content", "times")]
-                    + [part.column(part.schema.get_field_index("doc_id")).take(pa.array(text[row])), pa.array(offset, pa.int32())],
-                    names=["window", "anchor", "content", "times", "doc_id", "offset"],
+                    + [part.column(part.schema.get_field_index("order")).take(pa.array(text[row])), pa.array(offset, pa.int32())],
+                    names=["window", "anchor", "content", "times", "order", "offset"],
                 )
 
     return run
@@ -196,52 +197,61 @@ def _merge(size: int):
                 cut = np.flatnonzero(np.diff(starts) > size) + 1
                 out.append([{"start": int(s[0]), "end": int(s[-1]) + size} for s in np.split(starts, cut) if len(s)])
             spans = pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), spans], names=["doc_id", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), spans], names=["row", "spans"])
 
     return run
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and row, a key of their values (null for a null doc_id)."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return docs.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+
+
 def repeated_spans(docs: DataFrame, w: Windows, keep_first: bool) -> DataFrame:
-    """(doc_id, spans array<struct<start, end>>) of the texts in which something is repeated, in symbols of the text.
+    """(row, spans array<struct<start, end>>) of the texts in which something is repeated, in symbols of the text.
 
+    docs: as `keyed` gives them.
     keep_first False: windows that start anywhere else too, in the same text or another.
     keep_first True: windows that start in a text with a smaller doc_id.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
-    schema = "doc_id bigint, pos bigint, n int, lead int, anchor bigint, content bigint"
+    order = F.col("doc_id") if keep_first else F.lit(0).cast("bigint")
+    docs = docs.where("row is not null").select("row", order.alias("order"), "text")
+    schema = "row bigint, order bigint, pos bigint, n int, lead int, anchor bigint, content bigint"
     runs = written(docs.mapInArrow(_run_rows(w), schema), "runs")
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("times"), F.min("content").alias("lo"), F.max("content").alias("hi"))
-    anchors = anchors.where("times > 1").select("anchor", (F.col("lo") < F.col("hi")).alias("several"))
+    # written first, so that the join after it is a plain one whose hot keys Spark can split
+    anchors = written(anchors.where("times > 1").select("anchor", (F.col("lo") < F.col("hi")).alias("several")), "anchors")
     runs = written(runs.join(anchors, "anchor"), "repeated")
 
-    first = F.min(F.struct("doc_id", "pos")).alias("first")
+    first = F.min(F.struct("order", "row", "pos")).alias("first")
     contents = runs.groupBy("anchor", "content").agg(F.count("*").alias("times"), first, F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("several").alias("several"))
     contents = written(contents.select("anchor", "content", "times", "first.*", "n", "lead", "several"), "contents")
-    edges = contents.where("several").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n", "lead", "anchor", "content", "times")).alias("marks"))
+    edges = contents.where("several").groupBy("row").agg(F.collect_list(F.struct("pos", "n", "lead", "anchor", "content", "times")).alias("marks"))
     edges = written(edges, "edges")
-    texts = likely_in(docs, "doc_id", edges.select("doc_id")).join(edges, "doc_id").dropDuplicates(["doc_id"])
+    texts = likely_in(docs, "row", edges.select("row")).join(edges, "row").dropDuplicates(["row"])
     if w.block and not keep_first:
         again = _again_by_blocks(texts, w)
     else:
-        schema = "window bigint, anchor bigint, content bigint, times bigint, doc_id bigint, offset int"
+        schema = "window bigint, anchor bigint, content bigint, times bigint, order bigint, offset int"
         windows = written(texts.mapInArrow(_window_rows(w), schema), "windows")
-        counts = windows.groupBy("window").agg(F.sum("times").alias("all_times"), F.min("doc_id").alias("least"))
+        counts = windows.groupBy("window").agg(F.sum("times").alias("all_times"), F.min("order").alias("least"))
         if keep_first:
-            again = windows.join(counts.select("window", "least"), "window").where("least < doc_id")
+            again = windows.join(counts.select("window", "least"), "window").where("least < order")
         else:
             again = windows.where("times = 1").join(counts.where("all_times > 1").select("window"), "window")
         again = again.select("anchor", "content", F.col("offset").alias("at"), F.lit(1).cast("bigint").alias("mask"))
     partly = again.groupBy("anchor", "content").agg(F.collect_list(F.struct("at", "mask")).alias("parts"))
 
-    whole = (F.col("runs.doc_id") > F.col("known.doc_id")) if keep_first else (F.col("times") > 1)
-    known = contents.join(partly, ["anchor", "content"], "left").select("anchor", "content", "doc_id", "times", "parts")
-    known = known if keep_first else known.where("times > 1 or parts is not null")
+    whole = (F.col("runs.order") > F.col("known.order")) if keep_first else (F.col("times") > 1)
+    known = contents.join(partly, ["anchor", "content"], "left").select("anchor", "content", "order", "times", "parts")
+    known = written(known if keep_first else known.where("times > 1 or parts is not null"), "known")
     marked = runs.alias("runs").join(known.alias("known"), ["anchor", "content"]).where(whole | F.col("parts").isNotNull())
     mark = F.struct(F.col("pos"), F.col("n"), F.when(~whole, F.col("parts")).alias("parts"))
-    marks = marked.select(F.col("runs.doc_id").alias("doc_id"), mark.alias("mark")).groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
-    return written(marks.mapInArrow(_merge(w.size), "doc_id bigint, spans array<struct<start: bigint, end: bigint>>"), "spans")
+    marks = marked.select(F.col("runs.row").alias("row"), mark.alias("mark")).groupBy("row").agg(F.collect_list("mark").alias("marks"))
+    return written(marks.mapInArrow(_merge(w.size), "row bigint, spans array<struct<start: bigint, end: bigint>>"), "spans")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The rows of docs that have spans, with them; other texts aren't shuffled."""
-    return likely_in(docs, "doc_id", spans.select("doc_id")).join(spans, "doc_id")
+    """One row for each key of docs that has spans, with them; other texts aren't shuffled."""
+    return likely_in(docs, "row", spans.select("row")).join(spans, "row").dropDuplicates(["row"])

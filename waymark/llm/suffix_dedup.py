@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .repeats import BYTES_200, repeated_spans, with_spans
+from .repeats import BYTES_200, keyed, repeated_spans, with_spans
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,24 +38,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed.append(len(own) - len(kept[-1]))
                 runs.append(len(spans))
             sha = pa.array([hashlib.sha256(k).hexdigest() for k in kept])
-            doc_id = part.column(part.schema.get_field_index("doc_id"))
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), sha], names=["doc_id", "n_removed", "n_spans", "kept", "kept_sha256"])
+            row = part.column(part.schema.get_field_index("row"))
+            yield pa.RecordBatch.from_arrays([row, pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), sha], names=["row", "n_removed", "n_spans", "kept", "kept_sha256"])
 
 
 def cut_repeated_bytes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_removed, n_spans, kept (bytes) and its SHA-256, of the texts that lose bytes."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    schema = "doc_id bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"
-    return with_spans(docs, repeated_spans(docs, BYTES_200, keep_first=False)).mapInArrow(_cut, schema).dropDuplicates(["doc_id"])
+    """row (the key that `keyed` gives), n_removed, n_spans, kept (bytes) and its SHA-256, of the texts that lose bytes."""
+    docs = keyed(docs)
+    schema = "row bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"
+    return with_spans(docs, repeated_spans(docs, BYTES_200, keep_first=False)).mapInArrow(_cut, schema)
 
 
 def suffix_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every text."""
     text = F.coalesce("text", F.lit(""))
-    plain = docs.select("doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
+    plain = keyed(docs).select("doc_id", "row", F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
     cut = cut_repeated_bytes(docs).drop("kept")
     zero = F.lit(0).cast("bigint")
-    return plain.join(cut, "doc_id", "left").select(
+    return plain.join(cut, "row", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")
     )
 

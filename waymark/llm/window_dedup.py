@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .repeats import WORDS_50, repeated_spans, with_spans
+from .repeats import WORDS_50, keyed, repeated_spans, with_spans
 
 #: White space that separates words, in Java's and SQL's regular expressions alike.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -40,17 +40,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed.append(int(gone.sum()))
                 total.append(len(gone))
             yield pa.RecordBatch.from_arrays(
-                [part.column(part.schema.get_field_index("doc_id")), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])],
-                names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
+                [part.column(part.schema.get_field_index("row")), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])],
+                names=["row", "n_words", "n_removed", "kept", "kept_sha256"],
             )
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (words joined by one space) and its SHA-256, of the texts that lose words."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept string, kept_sha256 string"
-    cut = with_spans(docs, repeated_spans(docs, WORDS_50, keep_first=True)).mapInArrow(_cut, schema)
-    return cut.dropDuplicates(["doc_id"])
+    """row (the key that `keyed` gives), n_words, n_removed, kept (words joined by one space) and its SHA-256, of the
+    texts that lose words."""
+    docs = keyed(docs)
+    schema = "row bigint, n_words bigint, n_removed bigint, kept string, kept_sha256 string"
+    return with_spans(docs, repeated_spans(docs, WORDS_50, keep_first=True)).mapInArrow(_cut, schema)
 
 
 def joined_words(text) -> F.Column:
@@ -60,8 +60,8 @@ def joined_words(text) -> F.Column:
 
 def dedup_windows(docs: DataFrame) -> DataFrame:
     """docs without repeated windows: same columns and rows; text changes only where words go, and n_chars with it."""
-    cut = cut_repeats(docs).select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
-    out = docs.join(cut, docs["doc_id"] == cut["_id"], "left")
+    cut = cut_repeats(docs).select(F.col("row").alias("_row"), F.col("kept").alias("_kept"))
+    out = docs.join(cut, F.xxhash64(docs["doc_id"].cast("bigint"), docs["text"]) == cut["_row"], "left")
     out = out.withColumn("text", F.coalesce("_kept", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -71,10 +71,10 @@ def dedup_windows(docs: DataFrame) -> DataFrame:
 def window_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every text."""
     words = joined_words(F.col("text"))
-    plain = docs.select("doc_id", words.alias("words"))
+    plain = keyed(docs).select("doc_id", "row", words.alias("words"))
     count = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.translate("words", " ", "")) + 1)
-    plain = plain.select("doc_id", count.cast("bigint").alias("n_words"), F.sha2("words", 256).alias("sha"))
-    cut = cut_repeats(docs).select("doc_id", "n_removed", "kept_sha256")
-    return plain.join(cut, "doc_id", "left").select(
+    plain = plain.select("doc_id", "row", count.cast("bigint").alias("n_words"), F.sha2("words", 256).alias("sha"))
+    cut = cut_repeats(docs).select("row", "n_removed", "kept_sha256")
+    return plain.join(cut, "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")
     )

@@ -210,4 +210,7 @@ def test_token_ids(spark, tmp_path):
         expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted(map(tuple, token_ids.read_token_ids(spark, out).collect())) == expected
+    assert [len(r["ids"]) for r in token_ids.read_document(spark, out, 900).collect()] == [e[2] for e in expected if e[0] == 900]
+    token_ids.write_token_ids(frame(spark, rows).limit(0), str(tmp_path / "none"), path, 2)
+    assert token_ids.read_token_ids(spark, str(tmp_path / "none")).count() == 0
     assert {r["doc_id"]: len(r["ids"]) for r in token_ids.read_documents(spark, out).collect()} == {e[0]: e[2] for e in expected}

@@ -8,7 +8,7 @@ File format. A table of *segments* in Parquet, in ascending order of doc_id (nul
     low part, high part, select samples (uint32), ids (little-endian)
 
 The ends of the documents within a segment are a growing sequence e[0..n): the l low bits of each are packed, and the
-high parts are a bit array with bit (e[i] >> l) + i set. Select finds the i-th set bit from a sample every 256 ones and a
+high parts are a bit array with bit (e[i] >> l) + i set. Readers take offsets by select, which finds the i-th set bit from a sample every 256 ones and a
 popcount over the bytes between, so any offset costs a bounded read and boundaries take about 2 + l bits each; no table
 of 64-bit offsets is stored. A segment ends after SEGMENT_IDS ids (a longer document has its own).
 
@@ -18,9 +18,12 @@ no segments; other columns are ignored; texts are encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +37,8 @@ HEAD, SIZES = struct.Struct("<4sHHQQ"), struct.Struct("<BxxxIII")
 MAGIC, VERSION = b"WTID", 1
 SAMPLE = 256
 SEGMENT_IDS = 1 << 18
-#: Encoded words that a worker remembers; forgetting them all costs time only.
-MEMO_WORDS = 300_000
+#: Encoded parts of texts that a worker remembers; forgetting them all costs time only.
+MEMO_WORDS = 600_000
 POPCOUNT = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint8)
 
 
@@ -112,34 +115,83 @@ def unpack(segment: bytes) -> tuple[EliasFano, np.ndarray]:
     return EliasFano(n, bits, *parts), np.frombuffer(segment, f"<u{width}", n_ids, at + 4 * samples)
 
 
-_memo: dict[str, dict[bytes, bytes]] = {}
+#: Normalisation and splitting that Words knows how to cut texts for: NFC, white space to a space, lower case; then
+#: contractions, runs of letters, single digits, runs of others.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPACE = r"\x20\t-\r"
+#: Letters beyond ASCII that normalisation leaves as they are but for their case, one by one.
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
 
 
-def encode_texts(texts: list[bytes], tokenizer, memo: dict[bytes, bytes], kind: str) -> list[bytes]:
-    """Ids of whole texts as little-endian bytes. The tokenizer drops white space and never joins what it separates,
-    so a text's ids are those of its words, each encoded once."""
-    words = [t.split() for t in texts]
-    new = list(set().union(*words).difference(memo))
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        for w, e in zip(part, encode([w.decode() for w in part], add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, kind).tobytes()
-    out = [b"".join(map(memo.__getitem__, w)) for w in words]
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    return out
+class Words:
+    """One tokenizer, loaded once for a worker, with the ids of the parts of texts met so far.
+
+    Texts are cut where the tokenizer cuts them anyway, so that their ids are those of the parts, each encoded once. A word
+    with characters of unclear standing, or with an added token's text, is a part as a whole. A tokenizer that
+    works in another way encodes whole texts.
+    """
+
+    def __init__(self, path: str, end_id: int):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
+        self.memo: dict[str, bytes] = {}
+        self.cut = self._cut()
+        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+
+    def _cut(self) -> tuple[re.Pattern, re.Pattern, re.Pattern] | None:
+        """Patterns of what is unclear, and of the parts of texts without and with it."""
+        told = json.loads(self.tokenizer.to_str())
+        steps = [n.get("type") for n in (told["normalizer"] or {}).get("normalizers", [])]
+        first, *others = (told["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        added = [t["content"] for t in told["added_tokens"]]
+        known = steps == NORMALIZERS and first.get("pattern") == {"Regex": SPLIT} and [o.get("type") for o in others] == ["ByteLevel"]
+        if not known or told["post_processor"] or told["truncation"] or told["padding"] or any(re.search(r"\s", t) for t in added):
+            return None
+        unclear = "|".join([f"[^\\x00-\\x7f{_LATIN}]", *map(re.escape, added)])
+        letters = f"A-Za-z{_LATIN}"
+        clear = f"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[{letters}]+|[0-9]|[^{_SPACE}{letters}0-9]+"
+        return re.compile(unclear), re.compile(clear), re.compile(f"[^{_SPACE}]*?(?:{unclear})[^{_SPACE}]*|{clear}")
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian bytes."""
+        if self.cut is None:
+            return [np.array(e.ids, self.kind).tobytes() for e in self.encode(texts, add_special_tokens=False)]
+        unclear, clear, mixed = self.cut
+        parts = [(mixed if unclear.search(t) else clear).findall(t) for t in texts]
+        new = list(set().union(*parts).difference(self.memo))
+        model, plain = self.tokenizer.model, []
+        other = []
+        for part in new:
+            (plain if _PLAIN.fullmatch(part) else other).append(part)
+        for part in plain:  # the model's own symbols: nothing is left for the steps before it but the case
+            self.memo[part] = array(_ARRAY[self.width], [t.id for t in model.tokenize(part.lower())]).tobytes()
+        for at in range(0, len(other), 4096):
+            some = other[at : at + 4096]
+            for part, e in zip(some, self.encode(some, add_special_tokens=False), strict=True):
+                self.memo[part] = array(_ARRAY[self.width], e.ids).tobytes()
+        out = [b"".join(map(self.memo.__getitem__, p)) for p in parts]
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        return out
+
+
+_PLAIN = re.compile("[A-Za-z]+|[0-9]")
+_ARRAY = {2: "H", 4: "I"}
+_words: dict[tuple[str, int], Words] = {}
 
 
 def _segments(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        kind, memo = f"<u{width}", _memo.setdefault(path, {})
-        end = np.array([end_id], kind).tobytes()
+        if (path, end_id) not in _words:
+            _words[path, end_id] = Words(path, end_id)
+        words = _words[path, end_id]
+        width = words.width
+        end = np.array([end_id], words.kind).tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         doc_ids: list = []
         pieces: list[bytes] = []
@@ -153,8 +205,8 @@ def _segments(path: str, end_id: int):
         for batch in batches:
             for at in range(0, len(batch), 256):
                 rows = batch.slice(at, 256)
-                texts = [(t or "").encode() for t in rows.column("text").to_pylist()]
-                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), encode_texts(texts, tokenizer, memo, kind), strict=True):
+                texts = [t or "" for t in rows.column("text").to_pylist()]
+                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), words.ids(texts), strict=True):
                     if pieces and size + len(ids) > SEGMENT_IDS * width:
                         yield flush()
                         doc_ids, pieces, size, seq = [], [], 0, seq + 1
@@ -179,7 +231,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             ef, ids = unpack(row["segment"])
-            ends = ef.all()
+            ends = np.array([ef.select(i) for i in range(ef.n)], np.int64)
             starts = np.concatenate([[0], ends[:-1]])
             wide = ids.astype("<u4").tobytes()
             crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -218,3 +270,19 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_documents(spark, path: str) -> DataFrame:
     """doc_id, ids array<int> with the end id, for training code that wants the ids themselves."""
     return spark.read.parquet(path).mapInArrow(_ids, "doc_id bigint, ids array<int>")
+
+
+def _slice(doc_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ef, ids = unpack(row["segment"])
+                found = [ids[ef.select(i - 1) if i else 0 : ef.select(i)].tolist() for i, d in enumerate(row["doc_ids"]) if d == doc_id]
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(found), pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return run
+
+
+def read_document(spark, path: str, doc_id: int) -> DataFrame:
+    """doc_id, ids of one document: two selects in its segment, other boundaries aren't decoded."""
+    return spark.read.parquet(path).where(F.array_contains("doc_ids", doc_id)).mapInArrow(_slice(doc_id), "doc_id bigint, ids array<int>")

@@ -124,9 +124,9 @@ def _celled(words: int, c: Cells):
                 rows = iter(sketch)
                 sketches = [next(rows).astype("<u2").tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())]
+                    [*(part.column(part.schema.get_field_index(k)) for k in ("doc_id", "row")), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())]
                     + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tn.signed(names.ravel()))), pa.array(sketches, pa.binary())],
-                    names=["doc_id", "n_shingles", "node", "cells", "sketch"],
+                    names=["doc_id", "row", "n_shingles", "node", "cells", "sketch"],
                 )
 
     return run
@@ -414,15 +414,15 @@ def fresh_keys(df: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, words: int = 5, similarity: float | Fraction = Fraction(4, 5)) -> tuple[DataFrame, DataFrame]:
-    """(membership, links): membership is doc_id, n_shingles, node; links are pairs (a, b) of nodes.
+    """(membership, links): membership is doc_id, row (a hash of doc_id and text), n_shingles, node; links are pairs (a, b) of nodes.
 
     `links` connects all nodes that similar pairs connect, without listing pairs that others connect already.
     docs: doc_id bigint, text string. similarity may be a Fraction for an exact bound.
     """
     similarity = Fraction(similarity).limit_denominator(10_000)
     c = Cells.of(float(similarity))
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    base = written(docs.mapInArrow(_celled(words, c), "doc_id bigint, n_shingles bigint, node bigint, cells array<bigint>, sketch binary"), "sets")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    base = written(docs.mapInArrow(_celled(words, c), "doc_id bigint, row bigint, n_shingles bigint, node bigint, cells array<bigint>, sketch binary"), "sets")
     named = base.where("n_shingles > 0 and doc_id is not null")
     first = [F.first(k).alias(k) for k in ("n_shingles", "cells", "sketch")]
     nodes = written(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *first), "nodes")
@@ -430,11 +430,11 @@ def jaccard_join(docs: DataFrame, words: int = 5, similarity: float | Fraction =
     asked = written(nodes.select("node", "doc_id").join(member, "node"), "members")
     texts = likely_in(docs, "doc_id", asked.select("doc_id")).join(asked, "doc_id")
     sets = texts.select("node", "regions", "text").mapInArrow(_sets(words), "node bigint, regions array<bigint>, shingles array<bigint>")
-    return base.select("doc_id", "n_shingles", "node"), metric_join(sets, similarity)
+    return base.select("doc_id", "row", "n_shingles", "node"), metric_join(sets, similarity)
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, similarity: float | Fraction = Fraction(4, 5)) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that links reach (its own without any)."""
+def row_components(docs: DataFrame, words: int = 5, similarity: float | Fraction = Fraction(4, 5)) -> DataFrame:
+    """doc_id, row, n_shingles, component_id: the smallest doc_id that links reach (its own without any)."""
     member, links = jaccard_join(docs, words, similarity)
     roots = components(links).select("node", F.col("component").alias("root"))
     lone = F.col("n_shingles") == 0
@@ -443,7 +443,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, similarity: float | Frac
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     of_node = named.join(least, "root").select("node", "component")
     out = member.join(of_node, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(lone, F.col("doc_id")).otherwise(F.col("component"))).alias("component_id"))
+    return out.select("doc_id", "row", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(lone, F.col("doc_id")).otherwise(F.col("component"))).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, similarity: float | Fraction = Fraction(4, 5)) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return row_components(docs, words, similarity).drop("row")
+
+
+def keep_first_of_groups(docs: DataFrame, words: int = 5, similarity: float | Fraction = Fraction(4, 5)) -> DataFrame:
+    """The rows of docs, unchanged, whose doc_id is the smallest of their group; rows with a null doc_id stay."""
+    later = row_components(docs, words, similarity).where("doc_id != component_id").select(F.col("row").alias("_row")).distinct()
+    return docs.join(later, F.xxhash64(docs["doc_id"].cast("bigint"), docs["text"]) == F.col("_row"), "left_anti")
 
 
-__all__ = ["jaccard_components", "jaccard_join", "metric_join"]
+__all__ = ["jaccard_components", "jaccard_join", "keep_first_of_groups", "metric_join", "row_components"]

@@ -3,7 +3,11 @@
 Order: documents that the quality classifier rejects go; one document (the smallest id) of each group of near copies stays
 (word 5-shingles, Jaccard similarity 0.8 or more); 50-word passages that an earlier document has are cut, and
 documents of which nothing is left go; sources, languages and topics are mixed to tempered shares; what is kept is
-encoded. All but the last stage return the columns of documents.
+encoded. All but the last stage return the columns of documents, extra ones included.
+
+Null and empty texts: scored as they are, in no group, without passages (so they go at the third stage). Rows with a null
+doc_id are in no group and lose no passage. Rows that share a doc_id are judged each by its own text; equal rows share one
+fate at every stage. Empty tables give empty tables; texts are taken whole.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.mixing import Mix, sample_mix
-from waymark.llm.ngram_join import jaccard_components
+from waymark.llm.ngram_join import keep_first_of_groups
 from waymark.llm.quality import keep_good
 from waymark.llm.queries import tokenizer_file
 from waymark.llm.scratch import shared_dir
@@ -31,9 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_components(docs, words=5, similarity=Fraction(4, 5))
-    later = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(later, docs["doc_id"] == F.col("_id"), "left_anti")
+    return keep_first_of_groups(docs, words=5, similarity=Fraction(4, 5))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import collections
 import glob
-import importlib
 import os
+import pathlib
 import random
+import shutil
+import subprocess
 import sys
 
 import duckdb
@@ -293,17 +295,31 @@ def test_pipeline(spark):
     assert last.count() == docs.count()
 
 
-def test_entry_without_this_subpackage(monkeypatch):
-    import __spark_entry__
+def test_entry_without_this_subpackage(tmp_path):
+    root = pathlib.Path(__file__).parents[2]
+    shutil.copytree(root / "waymark", tmp_path / "waymark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    told = "import __spark_entry__ as e; print(*e.queries())"
+    names = subprocess.run([sys.executable, "-c", told], cwd=tmp_path, env={"PATH": os.environ["PATH"]}, capture_output=True, text=True, check=True).stdout.split()
+    assert "match_end_to_end" in names and "pipeline" not in names and not any(n.startswith("op") for n in names)
 
-    for name in [n for n in sys.modules if n.startswith("waymark.llm") or n == "corpus_pipeline"]:
-        monkeypatch.delitem(sys.modules, name)
-    monkeypatch.setitem(sys.modules, "waymark.llm", None)
-    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
-    import waymark
 
-    monkeypatch.delattr(waymark, "llm", raising=False)
-    bare = importlib.reload(__spark_entry__)
-    assert "match_end_to_end" in bare.queries() and not any(n.startswith("op") for n in bare.queries())
-    monkeypatch.undo()
-    importlib.reload(__spark_entry__)
+ODD = [(1, "fine words in a row", "a", "en", 4), (1, "fine words in a row", "a", "en", 4), (1, "another text", None, None, None), (None, "no id", "b", "de", 1), (2, None, None, "en", 0), (3, "", "a", "en", 0), (4, "long " * 5000, "a", "en", 25000)]
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_pipeline_stages_on_odd_rows(spark, tmp_path, rows):
+    """Nulls, empty and long texts, ties, repeated rows, extra and clashing columns, and no rows at all."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1), (4, 0)][: len(rows)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(*r, 1, "x", [1]) for r in rows], "doc_id long, text string, source string, lang string, n_chars long, row int, node string, ids array<int>")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert len(kept) <= len(rows)
+        if name.startswith("n-gram"):
+            assert len(kept) == len(rows)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert last.count() == len(rows)

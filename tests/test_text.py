@@ -77,3 +77,26 @@ def test_register_numbers():
     assert numbers.register_numbers("FLAT 2", "", "5") == ["5", "2", "", "", ""]
     assert numbers.register_numbers("GROUND FLOOR LEFT", "", "5")[:3] == ["5", "GROUND", "LEFT"]
     assert numbers.register_numbers("1F2", "", "21")[:2] == ["21", "1F2"]
+
+
+@pytest.mark.parametrize(
+    ("address", "slots"),
+    [
+        ("3 FLAT 2", ["3", "2"]),  # a bare number before a led one is the building's
+        ("3 FLAT 2 UNIT 9", ["3", "2", "9"]),
+        ("1/2 ALDER ROAD", ["1", "2"]),
+        ("FLAT 1F2", ["1F2"]),
+        ("12A", ["12", "A"]),
+        ("ALDER ROAD", []),
+    ],
+)
+def test_number_slots(address, slots):
+    assert numbers.parse_numbers(address)["number_like"] == slots + [""] * (5 - len(slots))
+
+
+def test_one_bad_row_is_told_and_not_fatal(monkeypatch):
+    from waymark.operators import parse
+
+    monkeypatch.setattr(parse, "parse_numbers", lambda a: 1 / 0)
+    assert parse._fast_row("1 ALDER ROAD") == [None] * 8 + ["ZeroDivisionError: division by zero"]
+    assert parse._fast_row(None) == [None] * 9

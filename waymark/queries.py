@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,10 @@ from .operators.parse import with_parse, with_places
 from .operators.register import derive, presence, tenement_count, vocabulary_by_outward, vocabulary_global
 from .operators.scorers import RULE_WEIGHTS, LogisticRuleScorer
 from .plans import evaluate as ev
-from .plans.build import Register
+from .plans.build import Register, build_register
 from .plans.match import Matching, best_candidate, match, score, score_and_match
 from .schema import MACRO_FIELDS, MICRO_FIELDS, POSTCODE_PARTS
+from .sources.staging import staging_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -342,7 +344,8 @@ def parse_number_like(spark, sf):
 
 
 def register(spark: SparkSession, sf: str) -> Register:
-    return Register.of(fx.raw_register(spark, sf))
+    """Built once into the shared folder and read from there by all that use it."""
+    return build_register(fx.raw_register(spark, sf), f"{staging_dir(spark)}/register-{uuid.uuid4().hex}")
 
 
 @query()
@@ -386,7 +389,7 @@ def score_then_match(spark, sf):
 
 @query()
 def evaluate_linkage(spark, sf):
-    return ev.evaluate(fx.input_addresses(spark, sf), register(spark, sf), LogisticRuleScorer(), ev.Evaluation(sample=500))
+    return ev.evaluate(fx.input_addresses(spark, sf), register(spark, sf), LogisticRuleScorer(), ev.Evaluation())
 
 
 __all__ = ["ORACLE_SQL", "QUERIES", "register"]

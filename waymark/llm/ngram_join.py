@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .components import components
-from .scratch import likely_in, written
+from .scratch import arrow_batches, likely_in, written
 
 U64 = np.uint64
 #: Probability that a pair at the similarity asked for meets in no cell; the same again that its sketches disagree.
@@ -50,6 +50,8 @@ SKETCH = 128
 #: Sets that one task compares in one piece.
 LEAF = 512
 PIVOTS = 8
+#: Rows that carry their region's pivots along, in one Arrow batch.
+WITH_PIVOTS = 64
 #: Sets of one cell that may become a region of their own.
 LARGE_CELL = 64
 
@@ -317,7 +319,7 @@ def _block(similarity: Fraction):
 def _distances(similarity: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distances of each set to the pivots of its region, and which of them it links to."""
-        for batch in batches:
+        for batch in (b.slice(at, WITH_PIVOTS) for b in batches for at in range(0, len(b), WITH_PIVOTS)):
             pdf = batch.to_pandas()
             d, hit = [], []
             for s, pivots in zip(pdf["shingles"], pdf["pivots"], strict=True):
@@ -375,7 +377,8 @@ def metric_join(sets: DataFrame, similarity: Fraction, leaf: int = LEAF, depth:
                 schema = "region bigint, node bigint, shingles array<bigint>, pivot_nodes array<bigint>, d array<double>, linked array<boolean>"
                 measured = rest.join(pivots, "region").mapInArrow(_distances(similarity), schema)
                 mask = F.aggregate(F.transform("linked", lambda hit, i: F.when(hit, F.pow(F.lit(2), i).cast("int")).otherwise(0)), F.lit(0), lambda x, y: x + y)
-                measured = written(measured.withColumn("mask", mask), "pivots")
+                with arrow_batches(sets.sparkSession, WITH_PIVOTS):
+                    measured = written(measured.withColumn("mask", mask), "pivots")
                 hit = F.explode(F.filter(F.arrays_zip("pivot_nodes", "linked"), lambda p: p["linked"]))
                 links = links.union(measured.select("node", hit.alias("p")).where("node != p.pivot_nodes").select(F.col("node").alias("a"), F.col("p.pivot_nodes").alias("b")))
                 groups = measured.groupBy("region", "mask").agg(F.count("*").alias("n")).groupBy("region").applyInPandas(_main_groups, "region bigint, mask int, main boolean")

@@ -4,19 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset (local tests)."""
+    """spark.checkpoint.dir of the session; a temporary folder only where it is unset and all tasks run in this process."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("waymark.scratch.dir", where) if not spark.conf.get("waymark.scratch.dir", None) else None
-        where = spark.conf.get("waymark.scratch.dir")
-    return where
+    if where:
+        return where
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _local:
+        _local.append(f"file://{tempfile.mkdtemp(prefix='spark-')}")
+    return _local[0]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -27,6 +34,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside hand Python at most so many rows at a time: for wide rows, whose batches would fill a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Bits of the bitmap in `likely_in`: 2**23 bits are 1 MB, whatever the number of ids.
 BITMAP_BITS = 23
 

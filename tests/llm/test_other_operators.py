@@ -2,6 +2,7 @@
 
 import collections
 import glob
+import hashlib
 import os
 import pathlib
 import random
@@ -121,6 +122,39 @@ def test_codec_digest(spark):
     rows = sp_codec.codec_digest(docs, path).collect()
     assert len(rows) == 5 and all(r["samples_agree"] for r in rows)
     assert len({str(r["samples"]) for r in rows if r["doc_id"] == 1}) == 1
+    assert sp_codec.codec_digest(docs.limit(0), path).count() == 0
+    encoded = sp_codec.encode(docs, path).collect()
+    shape = lambda s: [(len(x["ids"]), round(x["log_p"], 6), round(x["inclusion"], 6)) for x in s]
+    assert sorted(str((r["doc_id"], shape(r["samples"]))) for r in encoded) == sorted(str((r["doc_id"], [tuple(x) for x in r["samples"]])) for r in rows)
+    texts = {r["doc_id"]: r["decoded"] for r in sp_codec.decode(sp_codec.encode(docs, path), path).collect()}
+    assert texts == {1: "some text here", 2: "", 3: "", None: "x"}
+    assert {r["text_sha256"] for r in rows} == {hashlib.sha256(t.encode()).hexdigest() for t in texts.values()}
+
+
+def test_codec_of_long_texts_through_spark(spark):
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    texts = ["word " * 40_000, "x" * 30_000, "日本 " * 9_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["decoded"] for r in sp_codec.decode(sp_codec.encode(docs, path), path).collect()} == dict(enumerate(texts))
+
+
+def test_sampling_is_top_k_without_replacement(model):
+    """Order and inclusion of the first two samples against all ordered pairs of a small lattice."""
+    word = "▁aned"
+    every = spellings(model, word)
+    total = np.logaddexp.reduce(list(every.values()))
+    p = {w: float(np.exp(x - total)) for w, x in every.items()}
+    steps = sp_codec.Steps(model, model.encode(["aned"])[0])
+    pairs, scores, n = collections.Counter(), collections.Counter(), 4000
+    for key in range(n):
+        found, edge = sp_codec.sample_paths(steps, key, 2)
+        drawn = [tuple(steps.spelled(f[0]).tolist()) for f in found]
+        pairs[tuple(drawn)] += 1
+        for w, f in zip(drawn, found, strict=True):
+            scores[w] += -np.expm1(-np.exp(f[1] - edge)) ** -1
+    for (a, b), count in pairs.most_common(6):
+        assert abs(count / n - p[a] * p[b] / (1 - p[a])) < 0.04
+    assert all(abs(scores[w] / n - 1) < 0.25 for w in sorted(p, key=p.get)[-3:])  # 1 / inclusion is unbiased
 
 
 def test_quality_on_shouting(spark):

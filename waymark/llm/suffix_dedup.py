@@ -1,10 +1,9 @@
 """Exact byte-level dedup: every byte covered by a 200-byte string that also starts elsewhere goes.
 
-Prefix doubling over all positions would sort a row for each byte several times. Here ranks are given to runs of
-positions first (see repeats.py): anchors, a sparse sample of the suffixes that every 200-byte string contains one of
-at a fixed place, are ranked by a 40-byte prefix; those unique at that offset drop out; the rest is reranked at a
-growing offset by the whole run's content, and only what is still neither unique nor settled is ranked position by
-position at the threshold of 200 bytes. Spark groups (rank, rank) pairs in each round; no suffix array is held anywhere.
+Prefix doubling over all positions would sort a row for each byte several times; it isn't done here, and no rank or suffix array
+is made. Windows of 200 bytes are grouped by an anchor that equal windows share (see repeats.py): runs of windows whose
+anchor, of 40 bytes, is unique drop out; runs with equal content repeat as a whole; only what is then neither unique
+nor settled is looked at by blocks of neighbouring windows, and window by window. Spark groups and counts in each step.
 
 Null texts are empty; texts under 200 bytes and rows with a null doc_id lose nothing; overlapping repeats and repeats
 within one text count; long texts are taken whole; other columns are ignored.

@@ -9,6 +9,7 @@ import random
 import shutil
 import subprocess
 import sys
+import time
 
 import duckdb
 import numpy as np
@@ -43,6 +44,45 @@ def test_main_text_without_article():
     assert html_text.main_text(page) == "\n".join([good.strip(), "He left.", good.strip()])
 
 
+PROSE = "It is the story of a man who was in the town and of the people that he had met there, " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # a teaser doesn't outweigh a dense body in a plain div
+        (f"<body><nav><a href=x>Home</a></nav><article><p>See this.</p></article><nav><a href=x>Home</a><br><br><a href=y>News</a></nav><div><p>{PROSE}</p><p>He left.</p><p>{PROSE}</p></div></body>", f"{PROSE.strip()}\nHe left.\n{PROSE.strip()}"),
+        # nothing of an article's flow is lost: a paragraph that is one link, one without stop words, a short one
+        (f"<article><h1><a href=x>Title</a></h1><p>{PROSE}</p><p><a href=y>{PROSE}</a></p><p>{'qwx ' * 30}</p><p>© sign</p></article><p>out</p>", f"Title\n{PROSE.strip()}\n{PROSE.strip()}\n{('qwx ' * 30).strip()}\n© sign"),
+        # hints inside an article are weighed by density, names that say it plainly aren't
+        (f"<article><div class=legal><p>{PROSE}</p></div><div class=related><a href=x>More</a></div><div class=notice>{PROSE}</div><div class=post-header><h1>T</h1></div></article>", f"{PROSE.strip()}\nT"),
+        # articles in an aside that is closed are part of it
+        ("<aside><h3>More</h3><article><p>teaser</p></article></aside><article><p>own</p></article>", "own"),
+        # broken markup
+        ("<article><p title='a>b\">x</p><p>y</p></article>", 'b">x\ny'),
+        ("<article><p>1 < 2 and a<b</p> <![CDATA[ z ]]><p>3", "1 < 2 and a\n3"),
+        ("<article><p>x</p><!-- open <p>y", "x"),
+        ("<article><p>x<script>var a = '", "x"),
+    ],
+)
+def test_main_text_by_density(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_broken_pages_take_linear_time():
+    def took(page):
+        start = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - start
+
+    for piece in ('<a "', "<b></i>", "<li>", "<p>", "a<", "<!", "<!--", "<![CDATA[>", "<script>", "<nav><article>"):
+        assert took(piece * 16_000) < 8 * took(piece * 4_000) + 0.5
+
+
+def test_long_page():
+    assert html_text.main_text("<article>" + f"<p>{PROSE}</p>" * 3_000 + "</article>") == "\n".join([PROSE.strip()] * 3_000)
+
+
 def test_extract_text(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>é</p></article>", "x"), (2, None, None, "x"), (1, "u", "<article><p>é</p></article>", "x")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, html_text.extract_text(pages).collect()), key=str) == [(1, "u", "é", 1), (1, "u", "é", 1), (2, None, "", 0)]

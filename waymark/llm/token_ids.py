@@ -124,6 +124,20 @@ _SPACE = r"\x20\t-\r"
 _LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
 
 
+def text_cut(told: dict) -> tuple[re.Pattern, re.Pattern, re.Pattern] | None:
+    """Patterns of what is unclear, and of the parts of texts without and with it, for a tokenizer file that works as known."""
+    steps = [n.get("type") for n in (told["normalizer"] or {}).get("normalizers", [])]
+    first, *others = (told["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    added = [t["content"] for t in told["added_tokens"]]
+    known = steps == NORMALIZERS and first.get("pattern") == {"Regex": SPLIT} and [o.get("type") for o in others] == ["ByteLevel"]
+    if not known or told["post_processor"] or told["truncation"] or told["padding"] or any(re.search(r"\s", t) for t in added):
+        return None
+    unclear = "|".join([f"[^\\x00-\\x7f{_LATIN}]", *map(re.escape, added)])
+    letters = f"A-Za-z{_LATIN}"
+    clear = f"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[{letters}]+|[0-9]|[^{_SPACE}{letters}0-9]+"
+    return re.compile(unclear), re.compile(clear), re.compile(f"[^{_SPACE}]*?(?:{unclear})[^{_SPACE}]*|{clear}")
+
+
 class Words:
     """One tokenizer, loaded once for a worker, with the ids of the parts of texts met so far.
 
@@ -139,23 +153,9 @@ class Words:
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.memo: dict[str, bytes] = {}
-        self.cut = self._cut()
+        self.cut = text_cut(json.loads(self.tokenizer.to_str()))
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
-    def _cut(self) -> tuple[re.Pattern, re.Pattern, re.Pattern] | None:
-        """Patterns of what is unclear, and of the parts of texts without and with it."""
-        told = json.loads(self.tokenizer.to_str())
-        steps = [n.get("type") for n in (told["normalizer"] or {}).get("normalizers", [])]
-        first, *others = (told["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
-        added = [t["content"] for t in told["added_tokens"]]
-        known = steps == NORMALIZERS and first.get("pattern") == {"Regex": SPLIT} and [o.get("type") for o in others] == ["ByteLevel"]
-        if not known or told["post_processor"] or told["truncation"] or told["padding"] or any(re.search(r"\s", t) for t in added):
-            return None
-        unclear = "|".join([f"[^\\x00-\\x7f{_LATIN}]", *map(re.escape, added)])
-        letters = f"A-Za-z{_LATIN}"
-        clear = f"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[{letters}]+|[0-9]|[^{_SPACE}{letters}0-9]+"
-        return re.compile(unclear), re.compile(clear), re.compile(f"[^{_SPACE}]*?(?:{unclear})[^{_SPACE}]*|{clear}")
-
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian bytes."""
         if self.cut is None:

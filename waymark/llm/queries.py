@@ -8,13 +8,16 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe_codec
 from .embed_dedup import embedding_digest
+from .fim import fim_digest, fim_sql
 from .hamming_topk import SEARCH_SQL, search_digest
 from .html_text import extract_text
 from .mixing import mixing_digest, mixing_sql
 from .ngram_join import jaccard_components
 from .quality import score_quality
 from .scratch import shared_dir
+from .source_audit import audit_sources, audit_sql
 from .sp_codec import codec_digest
 from .suffix_dedup import suffix_digest
 from .token_ids import read_token_ids, write_token_ids
@@ -78,6 +81,18 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_digest(read(spark, sf_dir, "embeddings"))
 
 
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.codec_digest(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(read(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -92,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_embedding_near_dedup,
         op9_substring_dedup,
         op10_exact_top_k,
+        op11_bpe_codec,
+        op12_source_divergence,
+        op13_fill_in_middle,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op7_mixing_sources": mixing_sql(), "op10_exact_top_k": SEARCH_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_mixing_sources": mixing_sql(), "op10_exact_top_k": SEARCH_SQL, "op12_source_divergence": audit_sql(), "op13_fill_in_middle": fim_sql()}

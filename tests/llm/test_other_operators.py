@@ -339,8 +339,8 @@ def test_expected_sample_meets_targets(spark):
     open_mix = mixing.Mix(temper=(1.0, 0.0, 1.0))  # factors would give cell (a, de) 1.48: the others make up for it
     for c, target in (("source", {"a": 160, "b": 140}), ("lang", {"en": 150, "de": 150})):
         assert all(abs(w / target[v] - 1) < 0.02 for v, w in expected(open_mix, c).items())
-    scarce = mixing.Mix(temper=(1.0, 0.0, 1.0), fraction=0.9)  # de has 200 of the 270 tokens: both get 200
-    assert all(abs(w / 200 - 1) < 0.02 for w in expected(scarce, "lang").values())
+    scarce = mixing.Mix(temper=(1.0, 0.0, 1.0), fraction=0.9)  # de has 200 of the 270 tokens wanted: en gets the others
+    assert all(abs(w / {"de": 200, "en": 340}[v] - 1) < 0.02 for v, w in expected(scarce, "lang").items())
 
 
 @needs_tables

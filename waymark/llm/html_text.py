@@ -9,7 +9,9 @@ A mark of the article (<article>, <main>, or a container named as its content) i
 believed if at least half of the page's prose, as the first pass finds it, is inside, and else ignored. Where it is
 believed, blocks outside are bad, and blocks inside that density would drop are ambiguous, so that they inherit from
 the article's own blocks: nothing of the article's flow is lost. Inside an article, names that only hint at something
-else (`related`, `legal`) make a block bad unless it is dense prose.
+else (`related`, `legal`) make a block bad unless it is dense prose, and an id counts only on a box that is called nothing else. A
+page without a mark on which no block is good (a language without known stop words, a list, one short paragraph) gives
+all that is neither named as something else nor mostly links.
 
 Null or empty pages give ''. Repeated rows and ties are independent; other columns are ignored; pages are read whole, by a
 scanner that only moves forward; broken markup is read as browsers do it roughly: unclosed elements end with their
@@ -35,7 +37,7 @@ BLOCK_TAGS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = "script|style|noscript|template|textarea|title|iframe|noembed|noframes|xmp|svg|math|object|select|canvas|audio|video"
+RAW_TAGS = "script|style|noscript|template|textarea|title|iframe|noembed|noframes|xmp|svg|object|select|canvas|audio|video"
 BAD_TAGS = frozenset("nav aside footer form button dialog menu head".split())
 BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion sidebar sidebars menu menus nav navbar navigation "
@@ -46,6 +48,8 @@ SOFT_NAMES = frozenset(
     "banner header masthead topbar reply replies respond overlay share sharing social related recommended recommendations widget widgets copyright legal "
     "disclaimer skip".split()
 )
+#: Inside an article an id names a box only if it has no other words: ids of headings and sections are made from their titles.
+ID_NAMES = BAD_NAMES | SOFT_NAMES | frozenset("area bar block bottom box container form inline left list right section top wrap wrapper".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 GOOD_NAMES = frozenset("article content post entry story main".split())
 STOP_WORDS = frozenset(
@@ -148,18 +152,19 @@ class _Page:
                     self.close(at)
         if tag in VOID_TAGS:
             return
-        names, role = set(), ""
+        names, role, up = set(), "", self.stack[-1]
         for kind, *values in _ATTRIBUTE.findall(attributes):
             value = "".join(values)
             if kind.lower() == "role":
                 role = value.lower()
-            else:
-                names |= {n.lower() for n in _NAME.findall(value)}
+                continue
+            told = {n.lower() for n in _NAME.findall(value)}
+            if kind.lower() == "class" or not up.inside or tag == "div" and told <= ID_NAMES:
+                names |= told
         if tag in ("html", "body", "main") or tag == "article" and not names & {"comment", "comments", "reply"}:
             named = hinted = False
         else:
             named, hinted = bool(names & BAD_NAMES), bool(names & SOFT_NAMES)
-        up = self.stack[-1]
         bad = tag in BAD_TAGS or role in BAD_ROLES or named or not up.inside and (hinted or tag == "header")
         inside = not bad and (tag in ("article", "main") or tag in ("div", "section") and bool(names & GOOD_NAMES))
         self.stack.append(_Open(tag, up.bad or bad, up.inside or inside, up.soft or hinted and not names & GOOD_NAMES))
@@ -282,6 +287,10 @@ def classify(found: list[Block]) -> None:
         if b.soft and b.label != "good":
             b.label, b.bad = "bad", True
     own = [b for b in found if b.inside and not b.bad]
+    if not any(b.inside for b in found) and not any(b.label == "good" for b in found):
+        for b in found:  # nothing is marked and nothing is dense in words that are known: what is neither named nor linked is the text
+            b.label = "bad" if b.bad or b.link_density > MOST_LINKS or b.text.startswith("\N{COPYRIGHT SIGN}") else "good"
+        return None
     if not any(b.inside for b in found) or prose[True] < prose[False]:
         return by_neighbours(found)
     for b in found:

@@ -10,8 +10,9 @@ together, once each. Two classes link as a whole, or not at all, if their leader
 classes in between are compared member by member, large ones in blocks.
 
 Vectors that are null, zero, or hold null or non-finite components, and those without a label, link with nothing and are
-returned with 0 links. Vectors of different dimensions never link. Repeated rows and ties are ordinary members;
-rows with a null id are dropped. An empty table gives an empty table. Other columns are ignored.
+returned with 0 links. Vectors of different dimensions never link. Equal rows are one vector, returned once for each row; rows that
+share an id but not the vector are vectors of their own, whatever their order; rows with a null id link as others do and
+name no component. An empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -195,7 +196,7 @@ def _classes(base: DataFrame, angle: float, rounds: int) -> DataFrame:
 def lattice_links(vectors: DataFrame, threshold: float = 0.93, lattice: Lattice = Lattice(), pairwise: int = 4096, block: int = 512, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """(counts, links): counts is (vec_id, n_links) of vectors that link; links (a, b) connect what is linked.
 
-    vectors: vec_id bigint, embedding array of numbers, label int. `pairwise` bounds the member pairs that two classes
+    vectors: vec_id bigint (unique, or equal rows), embedding array of numbers, label int. `pairwise` bounds the member pairs that two classes
     may have to be compared as rows; beyond it they are compared in blocks of `block` members.
     """
     angle = math.acos(threshold)
@@ -256,11 +257,21 @@ def lattice_links(vectors: DataFrame, threshold: float = 0.93, lattice: Lattice
     return counts.groupBy("vec_id").agg(F.sum("n").alias("n_links")), links
 
 
+def node_key(vectors: DataFrame) -> Column:
+    """A number for each different row: rows that share an id are told apart by their vectors and labels."""
+    return F.xxhash64(vectors["vec_id"].cast("bigint"), vectors["embedding"], vectors["label"].cast("bigint"))
+
+
 def embedding_digest(vectors: DataFrame, threshold: float = 0.93, lattice: Lattice = Lattice()) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every vector with an id."""
-    counts, links = lattice_links(vectors, threshold, lattice)
-    comp = components(links).select(F.col("node").alias("vec_id"), "component")
-    out = vectors.where("vec_id is not null").select(F.col("vec_id").cast("bigint").alias("vec_id"))
-    out = out.join(counts, "vec_id", "left").join(comp, "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    """vec_id, n_links, component_id, kept of every row. Equal rows are one vector; rows that share an id but not the vector
+    are vectors of their own; a row without an id links as any other and names no component."""
+    node = node_key(vectors)
+    counts, links = lattice_links(vectors.select(node.alias("vec_id"), "embedding", "label"), threshold, lattice)
+    counts = counts.withColumnRenamed("vec_id", "node")
+    comp = components(links).select("node", F.col("component").alias("root"))
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), node.alias("node"))
+    rows = rows.join(counts, "node", "left").join(comp, "node", "left")
+    least = rows.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("least"))
+    rows = rows.join(least, "root", "left")
+    component = F.when(F.col("root").isNull(), F.col("vec_id")).otherwise(F.col("least"))
+    return rows.select("vec_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -3,8 +3,10 @@
 Token counts are summed by cell (source, language, topic); sweeps over the three dimensions scale the cells until each
 marginal matches its target share. A cell's documents are kept with a probability, decided for each document by a hash of
 its id. Probabilities are at most 1 inside of the fit: more sweeps scale weights whose values up to 1 count, until the
-expected sample has the target shares. The fraction is lowered to what the scarcest value allows (its tokens by its share of
-all); where cells rule out targets that single values would allow, the sample is as near as the sweeps come.
+expected sample has the wanted tokens of each value. A value with fewer tokens than its share of the sample gives all it has,
+and what is missing goes to the other values by their shares (the sample keeps its size, and a rare value costs no other one anything);
+mixing_report tells what is missing. Where cells rule out targets that single values would allow, the sample is as near as
+the sweeps come.
 
 Cells are a summary: only their table is joined back, broadcast where its written size is under Spark's threshold
 and shuffled otherwise. A source with a third of all rows is one row in it.
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import unused, written
 
 DIMENSIONS = ("source", "lang", "topic")
 MISSING = "(none)"
@@ -62,7 +64,7 @@ def dimension_columns(docs: DataFrame) -> dict[str, Column]:
     return {c: F.coalesce(given[c], F.lit(MISSING)) for c in DIMENSIONS}
 
 
-def rake(cells: DataFrame, mix: Mix, targets: dict[str, DataFrame] | None = None, bounded: bool = False) -> DataFrame:
+def rake(cells: DataFrame, mix: Mix, targets: dict[str, DataFrame] | None = None, bounded: bool = False, shares: bool = False) -> DataFrame:
     """cells (source, lang, topic, tokens) with `factor`, how much each is to be scaled, and if bounded `bounded`, its probability.
 
     targets: for a dimension, a table (value, share) instead of the tempered shares; values without a share go to 0.
@@ -86,16 +88,35 @@ def rake(cells: DataFrame, mix: Mix, targets: dict[str, DataFrame] | None = None
     if not bounded:
         return cells.select(*DIMENSIONS, "factor")
     cells = written(cells, "raked")
-    most = [cells.groupBy(c).agg((F.sum("tokens") / F.first(F.col(f"share_{c}") * F.col("total"))).alias("most"), F.first(f"share_{c}").alias("share")) for c in DIMENSIONS]
-    scarcest = most[0].union(most[1]).union(most[2]).where("share > 0").agg(F.least(F.lit(mix.fraction), F.min("most")).alias("limit"))
-    cells = written(cells.crossJoin(F.broadcast(scarcest)).withColumn("weight", F.col("factor") * F.col("limit")), "bounded")
+    for c in DIMENSIONS:
+        cells = cells.join(wanted(cells, c, mix), c)
+    cells = written(cells.withColumn("weight", F.col("factor") * mix.fraction), "bounded")
     for sweep in range(mix.sweeps):
         for c in DIMENSIONS:
             now = F.sum(F.least(F.lit(1.0), F.col("weight")) * F.col("tokens")).over(Window.partitionBy(c))
-            cells = cells.withColumn("now", now).withColumn("weight", F.when(F.col("now") > 0, F.col("weight") * F.col(f"share_{c}") * F.col("limit") * F.col("total") / F.col("now")).otherwise(0.0)).drop("now")
+            cells = cells.withColumn("now", now).withColumn("weight", F.when(F.col("now") > 0, F.col("weight") * F.col(f"wanted_{c}") / F.col("now")).otherwise(0.0)).drop("now")
         if sweep % 4 == 3:
             cells = written(cells, "bounded")
-    return cells.select(*DIMENSIONS, "factor", F.least(F.lit(1.0), F.col("weight")).alias("bounded"))
+    more = ["tokens", *[f"share_{c}" for c in DIMENSIONS]] if shares else []
+    return cells.select(*DIMENSIONS, "factor", F.least(F.lit(1.0), F.col("weight")).alias("bounded"), *more)
+
+
+def wanted(cells: DataFrame, c: str, mix: Mix) -> DataFrame:
+    """(c, wanted_c): tokens of each value in the sample: its share of a level that all values fill together, but no more
+    than it has. The level rises until nothing more is missing; each step is one aggregate."""
+    values = cells.groupBy(c).agg(F.sum("tokens").cast("double").alias("has"), F.first(f"share_{c}").alias("share"), F.first("total").cast("double").alias("total"))
+    values = written(values, "values")
+    level, before = None, -1.0
+    scarce = F.lit(False)
+    while level is None or level > before * (1 + 1e-12):
+        before = level if level is not None else -1.0
+        whole = F.max("total") * mix.fraction
+        found = values.where("share > 0").agg((whole - F.coalesce(F.sum(F.when(scarce, F.col("has"))), F.lit(0.0))).alias("left"), F.sum(F.when(~scarce, F.col("share"))).alias("shares")).first()
+        if not found["shares"]:  # every value gives all it has, or there is none
+            return values.select(c, F.when(F.col("share") > 0, F.col("has")).otherwise(0.0).alias(f"wanted_{c}"))
+        level = found["left"] / found["shares"]
+        scarce = F.col("has") < F.col("share") * level
+    return values.select(c, F.least("has", F.col("share") * level).alias(f"wanted_{c}"))
 
 
 def uniform(doc_id: Column, seed: str) -> Column:
@@ -117,8 +138,9 @@ def with_probability(docs: DataFrame, mix: Mix = Mix(), targets: dict[str, DataF
     on = [F.col(c) == F.col(n) for c, n in names.items()]
     probability = F.col("bounded") if bounded else F.least(F.lit(1.0), F.col("factor") * mix.fraction)
     sampled = uniform(F.col("doc.doc_id"), mix.seed) < probability
-    out = keyed.join(raked, on).select("doc.*", F.struct(*DIMENSIONS, "factor", probability.alias("probability"), sampled.alias("sampled")).alias("_mix"))
-    return out.withColumnRenamed("_mix", "mix") if "mix" not in docs.columns else out
+    told = unused("_mix", docs)
+    out = keyed.join(raked, on).select("doc.*", F.struct(*DIMENSIONS, "factor", probability.alias("probability"), sampled.alias("sampled")).alias(told))
+    return out.withColumnRenamed(told, "mix") if "mix" not in docs.columns else out
 
 
 def sample_mix(docs: DataFrame, mix: Mix = Mix(), targets: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -133,6 +155,21 @@ def mixing_digest(docs: DataFrame, mix: Mix = Mix(), bounded: bool = False) -> D
     return out.select("doc_id", "mix.source", "mix.lang", "mix.topic", F.round("mix.probability", 6).alias("probability"), "mix.sampled")
 
 
+def mixing_report(docs: DataFrame, mix: Mix = Mix(), targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """dimension, value, tokens, target (share), expected (share of the expected sample), missing (tokens by which a value falls short of its
+    target share of `fraction` of all tokens)."""
+    columns = dimension_columns(docs)
+    cells = docs.select(*[v.alias(c) for c, v in columns.items()], tokens(F.col("text")).alias("tokens")).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
+    raked = written(rake(cells, mix, targets, bounded=True, shares=True), "report")
+    whole = raked.agg(F.sum("tokens").alias("all"), F.sum(F.col("tokens") * F.col("bounded")).alias("kept")).first()
+    parts = []
+    for c in DIMENSIONS:
+        part = raked.groupBy(F.col(c).alias("value")).agg(F.sum("tokens").alias("tokens"), F.first(f"share_{c}").alias("target"), F.sum(F.col("tokens") * F.col("bounded")).alias("kept"))
+        missing = F.greatest(F.lit(0.0), F.col("target") * float(whole["all"] or 0) * mix.fraction - F.col("kept"))
+        parts.append(part.select(F.lit(c).alias("dimension"), "value", "tokens", "target", (F.col("kept") / (whole["kept"] or 1.0)).alias("expected"), missing.alias("missing")))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def mixing_sql(mix: Mix = Mix()) -> str:
     """DuckDB SQL for mixing_digest, sweeps unrolled."""
     ctes = [

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .components import components
-from .scratch import arrow_batches, likely_in, written
+from .scratch import arrow_batches, likely_in, without_rows, written
 
 U64 = np.uint64
 #: Probability that a pair at the similarity asked for meets in no cell; the same again that its sketches disagree.
@@ -456,8 +456,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, similarity: float | Frac
 
 def keep_first_of_groups(docs: DataFrame, words: int = 5, similarity: float | Fraction = Fraction(4, 5)) -> DataFrame:
     """The rows of docs, unchanged, whose doc_id is the smallest of their group; rows with a null doc_id stay."""
-    later = row_components(docs, words, similarity).where("doc_id != component_id").select(F.col("row").alias("_row")).distinct()
-    return docs.join(later, F.xxhash64(docs["doc_id"].cast("bigint"), docs["text"]) == F.col("_row"), "left_anti")
+    later = row_components(docs, words, similarity).where("doc_id != component_id").select("row").distinct()
+    return without_rows(docs, F.xxhash64(docs["doc_id"].cast("bigint"), docs["text"]), later)
 
 
 __all__ = ["jaccard_components", "jaccard_join", "keep_first_of_groups", "metric_join", "row_components"]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .scratch import written
+from .scratch import without_rows, written
 
 FEATURES, RIDGE, SEED, BINS, ACCEPT = 256, 1e-3, 4, 1000, 0.7
 #: Bandwidth of the kernel, in standard deviations times the root of the number of statistics.
@@ -214,8 +214,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier accepts, unchanged. Texts aren't shuffled: the model scores them in place."""
     stats = written(document_statistics(docs), "stats")
     model = fit_quality(stats, labels)
-    rejected = model.score(stats).where(F.col("score") < ACCEPT).select(F.col("row").alias("_row")).distinct()
-    return docs.join(rejected, row_key(docs) == F.col("_row"), "left_anti")
+    return without_rows(docs, row_key(docs), model.score(stats).where(F.col("score") < ACCEPT).select("row").distinct())
 
 
 __all__ = ["QualityModel", "fit_quality", "keep_good", "score_quality"]

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_rows(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of df, unchanged, whose key isn't in gone, a table of one column. Names may clash."""
+    name = unused("_gone", df)
+    return df.join(gone.toDF(name), key == F.col(name), "left_anti")
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs run inside hand Python at most so many rows at a time: for wide rows, whose batches would fill a worker's memory."""

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .repeats import WORDS_50, keyed, repeated_spans, with_spans
+from .scratch import unused
 
 #: White space that separates words, in Java's and SQL's regular expressions alike.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -60,12 +61,13 @@ def joined_words(text) -> F.Column:
 
 def dedup_windows(docs: DataFrame) -> DataFrame:
     """docs without repeated windows: same columns and rows; text changes only where words go, and n_chars with it."""
-    cut = cut_repeats(docs).select(F.col("row").alias("_row"), F.col("kept").alias("_kept"))
-    out = docs.join(cut, F.xxhash64(docs["doc_id"].cast("bigint"), docs["text"]) == cut["_row"], "left")
-    out = out.withColumn("text", F.coalesce("_kept", "text"))
+    row, kept = unused("_row", docs), unused("_kept", docs)
+    cut = cut_repeats(docs).select(F.col("row").alias(row), F.col("kept").alias(kept))
+    out = docs.join(cut, F.xxhash64(docs["doc_id"].cast("bigint"), docs["text"]) == cut[row], "left")
+    changed = {"text": F.coalesce(kept, "text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col(kept).isNotNull(), F.length(kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def window_digest(docs: DataFrame) -> DataFrame:

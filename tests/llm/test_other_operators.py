@@ -349,9 +349,12 @@ def test_oracle(spark, name):
     db = duckdb.connect()
     for path in glob.glob(f"{SF}/*.parquet"):
         db.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
-    got, expected = queries.QUERIES[name](spark, SF).toPandas(), db.execute(queries.ORACLE_SQL[name]).df()
-    as_rows = lambda p: sorted(map(str, p[sorted(p.columns)].astype(object).itertuples(index=False, name=None)))
-    assert as_rows(got) == as_rows(expected)
+    got, expected = queries.QUERIES[name](spark, SF), db.execute(queries.ORACLE_SQL[name])
+    names = sorted(got.columns)
+    told = [d[0] for d in expected.description]
+    as_rows = lambda rows: sorted(map(str, (tuple(r[n] for n in names) for r in rows)))
+    assert sorted(told) == names
+    assert as_rows(got.collect()) == as_rows(dict(zip(told, r, strict=True)) for r in expected.fetchall())
 
 
 @needs_tables

@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,8 @@ def test_number_slots(address, slots):
 def test_one_bad_row_is_told_and_not_fatal(monkeypatch):
     from waymark.operators import parse
 
-    monkeypatch.setattr(parse, "parse_numbers", lambda a: 1 / 0)
-    assert parse._fast_row("1 ALDER ROAD") == [None] * 8 + ["ZeroDivisionError: division by zero"]
-    assert parse._fast_row(None) == [None] * 9
+    known = parse.parse_numbers
+    monkeypatch.setattr(parse, "parse_numbers", lambda a: 1 / 0 if "BAD" in a else known(a))
+    out = parse.parse_fast.func(pd.Series(["1 BAD ROAD", None, "1 ALDER ROAD", ""]))
+    assert out["error"].tolist() == ["ZeroDivisionError: division by zero", None, None, None]
+    assert out["textual"].isna().tolist() == [True, True, False, True]

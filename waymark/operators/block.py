@@ -1,4 +1,10 @@
-"""Blocking: candidates of each address by four equality rules, each against the register and its other spellings."""
+"""Blocking: candidates of each address by four equality rules, each against the register and its other spellings.
+
+Each rule is an equi-join. A key whose addresses and register rows would make more than PAIRS pairs (a street name or number of
+a large town) is dealt: its addresses to some shares and its register rows to some shares, and each address meets all of them, a
+share at a time, so that no task gets more than PAIRS pairs of one key. Sizes of blocks are counted first, by
+aggregates with partial sums.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 #: Rule number -> register columns and the address's keys (p: fast parse, q: place fields).
 RULES: dict[int, list[tuple[str, str]]] = {
     1: [("POSTCODE", "p.postcode")],
@@ -15,6 +23,8 @@ RULES: dict[int, list[tuple[str, str]]] = {
     4: [("POST_TOWN", "q.post_town"), ("number_like_0", "number_0")],
 }
 TABLES = ("indexed", "expanded")
+#: Pairs of one key that one task may get, and the rows of a share on either side.
+PAIRS, SHARE = 250_000, 500
 STAGES = [(rule, table, 2 * (rule - 1) + t + 1) for rule in RULES for t, table in enumerate(TABLES)]
 
 
@@ -43,10 +53,40 @@ def last_stage_by_beam(counts: DataFrame, beam: int) -> DataFrame:
     return running.groupBy("input_id").agg(F.coalesce(F.min(F.when(F.col("total") > beam, F.col("stage"))), F.lit(len(STAGES))).alias("last"))
 
 
-def candidates(inputs: DataFrame, tables: dict[str, DataFrame], rules: list[int] | None = None, last: DataFrame | None = None) -> DataFrame:
+def without_repeats(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables in which a row_key comes once, in the earlier one. Equal keys are equal rows, so the rules find as many rows."""
+    first, second = (tables[t].dropDuplicates(["row_key"]) for t in TABLES)
+    return {TABLES[0]: first, TABLES[1]: second.join(first.select("row_key"), "row_key", "left_anti").select(*second.columns)}
+
+
+def dealt_pairs(inputs: DataFrame, table: DataFrame, rule: int, pairs: int = PAIRS, share: int = SHARE) -> DataFrame:
+    """Addresses joined to the register rows with equal keys (columns under `a.` and `r.`), common keys in shares."""
+    mine, theirs = [m for _, m in RULES[rule]], [t for t, _ in RULES[rule]]
+    keys = [f"_k{i}" for i in range(len(mine))]
+    left = inputs.select("*", *[F.col(m).alias(k) for m, k in zip(mine, keys, strict=True)])
+    right = table.select("*", *[F.col(t).alias(k) for t, k in zip(theirs, keys, strict=True)])
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    sizes = left.where(known).groupBy(*keys).agg(F.count("*").alias("_a")).join(right.where(known).groupBy(*keys).agg(F.count("*").alias("_r")), keys)
+    shares = lambda n: F.ceil(F.col(n) / share).cast("int")
+    common = staged(sizes.where(F.col("_a") * F.col("_r") > pairs).select(*keys, shares("_a").alias("_as"), shares("_r").alias("_rs")), "common")
+    if common.isEmpty():
+        return left.alias("a").join(right.alias("r"), reduce(Column.__and__, [F.col(f"a.{k}") == F.col(f"r.{k}") for k in keys]))
+
+    def deal(side: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        """Each row goes to one share of its own side, and to that one once for each share of the other side."""
+        out = side.join(common, keys, "left")
+        mine_at = F.pmod(F.xxhash64(key), F.coalesce(f"_{own}s", F.lit(1))).cast("int")
+        others = F.explode(F.sequence(F.lit(0), F.coalesce(f"_{other}s", F.lit(1)) - 1))
+        return out.select("*", mine_at.alias(f"_{own}_at"), others.alias(f"_{other}_at")).drop("_as", "_rs")
+
+    on = reduce(Column.__and__, [F.col(f"a.{k}") == F.col(f"r.{k}") for k in (*keys, "_a_at", "_r_at")])
+    return deal(left, "input_id", "a", "r").alias("a").join(deal(right, "row_key", "r", "a").alias("r"), on)
+
+
+def candidates(inputs: DataFrame, tables: dict[str, DataFrame], rules: list[int] | None = None, last: DataFrame | None = None, pairs: int = PAIRS, share: int = SHARE) -> DataFrame:
     """Pairs of addresses and register rows with their stage; an equi-join for each stage, never an OR.
 
-    A row that a rule finds in both tables comes once, from the earlier. `last` (input_id, last) leaves later stages out.
+    `tables` are those of without_repeats. `last` (input_id, last) leaves later stages out.
     """
     if last is not None:
         inputs = inputs.join(last, "input_id")
@@ -55,8 +95,6 @@ def candidates(inputs: DataFrame, tables: dict[str, DataFrame], rules: list[int]
         if rules and rule not in rules:
             continue
         some = inputs.where(F.col("last") >= stage) if last is not None else inputs
-        pair = some.alias("a").join(tables[table].alias("r"), _on(rule))
-        parts.append(pair.select(*[f"a.{c}" for c in mine], F.lit(stage).alias("stage"), F.lit(rule).alias("rule"), "r.*"))
-    both = reduce(DataFrame.unionByName, parts)
-    first = Window.partitionBy("input_id", "rule", "row_key").orderBy("stage")
-    return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+        found = dealt_pairs(some, tables[table], rule, pairs, share)
+        parts.append(found.select(*[f"a.{c}" for c in mine], F.lit(stage).alias("stage"), F.lit(rule).alias("rule"), *[f"r.{c}" for c in tables[table].columns]))
+    return reduce(DataFrame.unionByName, parts)

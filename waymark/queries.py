@@ -189,7 +189,7 @@ def _rule(rule: int):
 
     def run(spark, sf):
         inputs, tables = _keyed(spark, sf)
-        pairs = block.candidates(inputs, tables, [rule])
+        pairs = block.candidates(inputs, block.without_repeats(tables), [rule])
         return pairs.groupBy("input_id").agg(F.count("*").alias("candidates"), F.min("UPRN").alias("first"), F.max("UPRN").alias("last"))
 
     run.__name__ = f"block_rule{rule}"
@@ -222,7 +222,7 @@ _blank_cells = "CASE WHEN mine = '' THEN 0.0 ELSE -2.0 END"
 
 def _no_text_pairs(spark, sf) -> DataFrame:
     inputs, tables = _keyed(spark, sf)
-    pairs = block.candidates(inputs, {"indexed": tables["indexed"], "expanded": tables["expanded"].limit(0)}, [1])
+    pairs = block.candidates(inputs, block.without_repeats(tables), [1]).where("stage = 1")
     mine = [F.get("p.number_like", F.lit(i)) for i in range(5)]
     numbers = number_matrix(mine, [F.col(f"number_like_{i}") for i in range(5)])
     codes = postcode_agreement([F.col(f"p.{c}") for c in POSTCODE_PARTS], [F.col(c) for c in POSTCODE_PARTS])
@@ -361,7 +361,7 @@ def register_expanded(spark, sf):
 @query()
 def parse_full(spark, sf):
     r = register(spark, sf)
-    return with_places(with_parse(fx.input_addresses(spark, sf)), r.vocabulary, r.vocabulary_map).select("input_id", "q.*")
+    return with_places(with_parse(fx.input_addresses(spark, sf)), r.vocabulary).select("input_id", "q.*")
 
 
 @query()

@@ -16,6 +16,7 @@ from .operators.parse import with_parse, with_places
 from .operators.register import derive, presence, tenement_count, vocabulary_by_outward, vocabulary_global
 from .operators.scorers import RULE_WEIGHTS, LogisticRuleScorer
 from .plans import evaluate as ev
+from .plans import train as tr
 from .plans.build import Register, build_register
 from .plans.match import Matching, best_candidate, match, score, score_and_match
 from .schema import MACRO_FIELDS, MICRO_FIELDS, POSTCODE_PARTS
@@ -392,4 +393,26 @@ def evaluate_linkage(spark, sf):
     return ev.evaluate(fx.input_addresses(spark, sf), register(spark, sf), LogisticRuleScorer(), ev.Evaluation())
 
 
+def _linked(spark, sf) -> DataFrame:
+    """Addresses with the delivery point that they are written from."""
+    true = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("input_id"), (F.col("o_custkey") + 1000000).cast("string").alias("uprn"))
+    return fx.input_addresses(spark, sf).select("input_id", "input_address").join(true, "input_id")
+
+
+@query()
+def train_forest(spark, sf):
+    """Held-out pairs of a forest, scored."""
+    return tr.train_forest(_linked(spark, sf), register(spark, sf))[1]
+
+
+@query()
+def match_with_forest(spark, sf):
+    """All addresses matched by a forest that never saw the held-out ones, read back from its version."""
+    linked, reg = _linked(spark, sf), register(spark, sf)
+    root = f"{staging_dir(spark)}/forest-{uuid.uuid4().hex}"
+    version = tr.save_version(tr.train_forest(linked, reg)[0], spark, root)
+    out = match(linked.select("input_id", "input_address"), reg, tr.load_version(spark, root, version))
+    return out.withColumn("held_out", tr.held_out())
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "register"]

@@ -193,7 +193,9 @@ def _merge(size: int):
         for batch in batches:
             pdf, out = batch.to_pandas(), []
             for marks in pdf["marks"]:
-                starts = np.unique(np.concatenate([m["pos"] + _offsets(m["n"], m["parts"]) for m in marks]))
+                own = {m["pos"] for m in marks if m["own"]}
+                gone = [m["pos"] + _offsets(m["n"], m["parts"]) for m in marks if m["own"] and m["parts"] is not None or not m["own"] and m["pos"] not in own]
+                starts = np.unique(np.concatenate([np.zeros(0, np.int64), *gone]))
                 cut = np.flatnonzero(np.diff(starts) > size) + 1
                 out.append([{"start": int(s[0]), "end": int(s[-1]) + size} for s in np.split(starts, cut) if len(s)])
             spans = pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
@@ -243,13 +245,20 @@ def repeated_spans(docs: DataFrame, w: Windows, keep_first: bool) -> DataFrame:
         again = again.select("anchor", "content", F.col("offset").alias("at"), F.lit(1).cast("bigint").alias("mask"))
     partly = again.groupBy("anchor", "content").agg(F.collect_list(F.struct("at", "mask")).alias("parts"))
 
-    whole = (F.col("runs.order") > F.col("known.order")) if keep_first else (F.col("times") > 1)
-    known = contents.join(partly, ["anchor", "content"], "left").select("anchor", "content", "order", "times", "parts")
-    known = written(known if keep_first else known.where("times > 1 or parts is not null"), "known")
-    marked = runs.alias("runs").join(known.alias("known"), ["anchor", "content"]).where(whole | F.col("parts").isNotNull())
-    mark = F.struct(F.col("pos"), F.col("n"), F.when(~whole, F.col("parts")).alias("parts"))
-    marks = marked.select(F.col("runs.row").alias("row"), mark.alias("mark")).groupBy("row").agg(F.collect_list("mark").alias("marks"))
-    return written(marks.mapInArrow(_merge(w.size), "row bigint, spans array<struct<start: bigint, end: bigint>>"), "spans")
+    own = F.lit(False)
+    if keep_first:  # all runs go but those of the first text, which an equi-join on the text's order finds: a common content isn't one key
+        owned = runs.join(contents.select("anchor", "content", "order"), ["anchor", "content", "order"])
+        # written first, so that the join after it is a plain one
+        owned = written(owned.select("row", "pos", "n", "anchor", "content"), "owned").join(written(partly, "partly"), ["anchor", "content"], "left")
+        marked = runs.select("row", "pos", "n", F.lit(None).cast(partly.schema["parts"].dataType).alias("parts"), own.alias("own")).union(owned.select("row", "pos", "n", "parts", F.lit(True)))
+    else:
+        whole = F.col("times") > 1
+        known = contents.join(partly, ["anchor", "content"], "left").select("anchor", "content", "times", "parts")
+        known = written(known.where(whole | F.col("parts").isNotNull()), "known")
+        marked = runs.join(known, ["anchor", "content"]).select("row", "pos", "n", F.when(~whole, F.col("parts")).alias("parts"), own.alias("own"))
+    marks = marked.groupBy("row").agg(F.collect_list(F.struct("pos", "n", "parts", "own")).alias("marks"))
+    spans = marks.mapInArrow(_merge(w.size), "row bigint, spans array<struct<start: bigint, end: bigint>>")
+    return written(spans.where(F.size("spans") > 0), "spans")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from .operators import block, expand, multiplier
 from .operators.features import number_matrix, postcode_agreement, with_features
 from .operators.parse import with_parse, with_places
 from .operators.register import derive, presence, tenement_count, vocabulary_by_outward, vocabulary_global
-from .operators.scorers import RULE_WEIGHTS, LogisticRuleScorer
+from .operators.scorers import LogisticRuleScorer, RuleScorer
 from .plans import evaluate as ev
 from .plans import train as tr
 from .plans.build import Register, build_register
@@ -228,8 +228,7 @@ def _no_text_pairs(spark, sf) -> DataFrame:
     numbers = number_matrix(mine, [F.col(f"number_like_{i}") for i in range(5)])
     codes = postcode_agreement([F.col(f"p.{c}") for c in POSTCODE_PARTS], [F.col(c) for c in POSTCODE_PARTS])
     features = F.concat(numbers, F.array(*[F.lit(0.0)] * 16), codes)
-    weights = F.array(*[F.lit(float(w)) for w in RULE_WEIGHTS])
-    return pairs.withColumn("features", features).withColumn("score", F.aggregate(F.zip_with("features", weights, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x))
+    return RuleScorer().score(pairs.withColumn("features", features))
 
 
 @query(f"{_best_pairs_sql} SELECT input_id, UPRN, ({_first_cell})::DOUBLE AS n00, ({_blank_cells})::DOUBLE AS n01, a::INTEGER::DOUBLE AS area, b::INTEGER::DOUBLE AS district, f::INTEGER::DOUBLE AS unit_1 FROM pairs")

@@ -11,7 +11,7 @@ believed, blocks outside are bad, and blocks inside that density would drop are
 the article's own blocks: nothing of the article's flow is lost. Inside an article, names that only hint at something
 else (`related`, `legal`) make a block bad unless it is dense prose, and an id counts only on a box that is called nothing else. A
 page without a mark on which no block is good (a language without known stop words, a list, one short paragraph) gives
-all that is neither named as something else nor mostly links.
+all that is within an element, and neither named as something else nor mostly links.
 
 Null or empty pages give ''. Repeated rows and ties are independent; other columns are ignored; pages are read whole, by a
 scanner that only moves forward; broken markup is read as browsers do it roughly: unclosed elements end with their
@@ -79,6 +79,7 @@ class Block:
     soft: bool
     heading: bool
     link_density: float
+    within: bool
     label: str = ""
 
 
@@ -117,7 +118,7 @@ class _Page:
         text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
         if text:
             o = self.stack[-1]
-            self.blocks.append(Block(text, o.bad, o.inside and not o.bad, o.soft, self.heading, min(1.0, self.linked / len(text))))
+            self.blocks.append(Block(text, o.bad, o.inside and not o.bad, o.soft, self.heading, min(1.0, self.linked / len(text)), bool(o.tag)))
         self.pieces, self.linked, self.breaks, self.heading = [], 0, 0, False
 
     def close(self, at: int) -> None:
@@ -289,7 +290,7 @@ def classify(found: list[Block]) -> None:
     own = [b for b in found if b.inside and not b.bad]
     if not any(b.inside for b in found) and not any(b.label == "good" for b in found):
         for b in found:  # nothing is marked and nothing is dense in words that are known: what is neither named nor linked is the text
-            b.label = "bad" if b.bad or b.link_density > MOST_LINKS or b.text.startswith("\N{COPYRIGHT SIGN}") else "good"
+            b.label = "bad" if b.bad or not b.within or b.link_density > MOST_LINKS or b.text.startswith("\N{COPYRIGHT SIGN}") else "good"
         return None
     if not any(b.inside for b in found) or prose[True] < prose[False]:
         return by_neighbours(found)

@@ -51,7 +51,7 @@ SKETCH = 128
 LEAF = 512
 PIVOTS = 8
 #: Rows that carry their region's pivots along, in one Arrow batch.
-WITH_PIVOTS = 64
+WITH_PIVOTS = 32
 #: Sets of one cell that may become a region of their own.
 LARGE_CELL = 64
 

@@ -13,6 +13,7 @@ import time
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +172,33 @@ def test_codec_digest(spark):
     assert {r["text_sha256"] for r in rows} == {hashlib.sha256(t.encode()).hexdigest() for t in texts.values()}
 
 
+def test_codec_digest_tells_every_sample(spark, monkeypatch):
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(1, "some text here"), (2, None), (3, "aneder 日本"), (4, "")], "doc_id long, text string").coalesce(1)
+    sha = lambda ids: hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    expected = {r["doc_id"]: (sha(r["ids"]), [sha(s["ids"]) for s in r["samples"]], [round(s["perturbed"], 6) for s in r["samples"]]) for r in sp_codec.encode(docs, path, k=4).collect()}
+    assert {r["doc_id"]: (r["ids_sha256"], r["samples_sha256"], r["perturbed"]) for r in sp_codec.codec_digest(docs, path, k=4).collect()} == expected
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["some text here", None, "aneder"])], names=["doc_id", "text"])
+    encode = sp_codec._encode
+
+    def last_is_wrong(path, k):
+        """The last sample of the last text loses its last piece."""
+
+        def run(batches):
+            for b in encode(path, k)(batches):
+                rows = b.column("samples").to_pylist()
+                rows[-1][-1]["ids"].pop()
+                yield b.set_column(2, "samples", pa.array(rows, b.column("samples").type))
+
+        return run
+
+    agree = lambda: [x for b in sp_codec._digest(path, 3)(iter([batch])) for x in b.column("samples_agree").to_pylist()]
+    assert agree() == [True, True, True]
+    monkeypatch.setattr(sp_codec, "_encode", last_is_wrong)
+    assert agree() == [True, True, False]
+
+
 def test_codec_of_long_texts_through_spark(spark):
     path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
     texts = ["word " * 40_000, "x" * 30_000, "日本 " * 9_000]

@@ -546,30 +546,37 @@ def _digest(path: str, k: int):
     encoded = _encode(path, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What `encode` and `decode` give for each document, told without the ids and texts themselves."""
+        """What `encode` and `decode` give for each document and each of its samples, told without the ids and texts themselves."""
         model = pieces(path)
         for batch in encoded(batches):
             ids, samples = batch.column("ids"), batch.column("samples")
             flat = samples.flatten()
-            drawn, begin = flat.field("ids"), samples.offsets.to_numpy()
+            drawn = flat.field("ids")
             bounds = lambda lists: lists.offsets.to_numpy().astype(np.int64)
             texts = model.decode_all(ids.flatten().to_numpy(), bounds(ids))
-            some = np.flatnonzero(np.diff(begin))
-            first = drawn.take(pa.array(begin[:-1][some]))
+            row = np.repeat(np.arange(len(batch)), np.diff(samples.offsets.to_numpy()))
             agree = np.ones(len(batch), bool)
-            agree[some] = [texts[i] == t for i, t in zip(some, model.decode_all(first.flatten().to_numpy(), bounds(first)), strict=True)]
+            agree[[i for i, t in zip(row.tolist(), model.decode_all(drawn.flatten().to_numpy(), bounds(drawn)), strict=True) if t != texts[i]]] = False
             shape = pa.StructArray.from_arrays([drawn.value_lengths(), flat.field("log_p"), flat.field("inclusion")], names=["n", "log_p", "inclusion"])
             sha = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids.value_lengths(), sha, pa.array(agree), pa.ListArray.from_arrays(samples.offsets, shape)], names=["doc_id", "n_pieces", "text_sha256", "samples_agree", "samples"])
+            per_sample = [pa.ListArray.from_arrays(samples.offsets, values) for values in (shape, flat.field("perturbed"), ids_sha256(drawn))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids.value_lengths(), sha, pa.array(agree), per_sample[0], ids_sha256(ids), *per_sample[1:]], names=["doc_id", "n_pieces", "text_sha256", "samples_agree", "samples", "ids_sha256", "perturbed", "samples_sha256"])
 
     return run
 
 
+def ids_sha256(lists: pa.ListArray) -> pa.Array:
+    """The SHA-256 of each list's ids as little-endian unsigned 32-bit integers."""
+    raw, cut = lists.flatten().to_numpy().astype("<u4").tobytes(), (4 * lists.offsets.to_numpy().astype(np.int64)).tolist()
+    return pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.string())
+
+
 def codec_digest(docs: DataFrame, path: str, k: int = 2) -> DataFrame:
-    """For every document: pieces, whether decoding its ids and its first sample gives one text, that text's SHA-256, and the
-    samples' sizes, log-probabilities and inclusion scores (6 digits)."""
+    """For every document: pieces, whether decoding its ids and each of its samples gives one text, that text's SHA-256, the
+    samples' sizes, log-probabilities and inclusion scores (6 digits), the SHA-256 of its ids, and the samples' perturbed
+    values (6 digits) and the SHA-256 of theirs."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     shape = "array<struct<n: int, log_p: double, inclusion: double>>"
-    out = docs.mapInArrow(_digest(path, k), f"doc_id bigint, n_pieces int, text_sha256 string, samples_agree boolean, samples {shape}")
+    out = docs.mapInArrow(_digest(path, k), f"doc_id bigint, n_pieces int, text_sha256 string, samples_agree boolean, samples {shape}, ids_sha256 string, perturbed array<double>, samples_sha256 array<string>")
     rounded = F.transform("samples", lambda s: F.struct(s["n"].alias("n"), F.round(s["log_p"], 6).alias("log_p"), F.round(s["inclusion"], 6).alias("inclusion")))
-    return out.withColumn("samples", rounded)
+    return out.withColumns({"samples": rounded, "perturbed": F.transform("perturbed", lambda x: F.round(x, 6))})

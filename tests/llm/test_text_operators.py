@@ -8,9 +8,10 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from waymark.llm import ngram_join, suffix_dedup, token_ids, window_dedup
+from waymark.llm import ngram_join, repeats, suffix_dedup, token_ids, window_dedup
 from waymark.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -157,6 +158,31 @@ def test_window_dedup(spark):
     assert {tuple(r) for r in window_dedup.window_digest(frame(spark, DOCS)).collect()} == expected
 
 
+def test_common_passage_is_a_row_for_each_slice():
+    """A passage of all texts of a slice makes as many rows of runs as one text's, with all places."""
+    r = random.Random(5)
+    passage = " ".join(f"p{r.randrange(10**6)}" for _ in range(300))
+    rows = lambda texts: pa.Table.from_batches(
+        repeats._run_rows(repeats.WORDS_50)(iter([pa.record_batch([pa.array(texts), pa.array(range(7, 7 + len(texts))), pa.array(range(len(texts)))], names=["text", "row", "order"])]))
+    ).to_pylist()
+    one, many = rows([passage]), rows([passage] * 200 + ["short", None])
+    assert len(many) == len(one) > 5 and {x["slice"] for x in many} == {7}
+    assert all(sorted((p["order"], p["row"]) for p in x["places"]) == [(i, i + 7) for i in range(200)] for x in many)
+
+
+def test_common_passage_through_many_slices(spark):
+    r = random.Random(6)
+    words = lambda n: " ".join(f"p{r.randrange(10**6)}" for _ in range(n))
+    passage = words(130)
+    docs = [(i, f"{words(r.randrange(60))} {passage} {words(r.randrange(60))}".strip()) for i in range(60)]
+    docs += docs[40:45]  # equal rows, in other slices
+    got = sorted((x["doc_id"], x["n_words"], x["n_removed"]) for x in window_dedup.window_digest(frame(spark, docs).repartition(7)).collect())
+    assert got == sorted((i, len(t.split()), 130 if i else 0) for i, t in docs)
+    size = len(passage.encode())
+    got = sorted((x["doc_id"], x["n_removed"] >= size, x["n_spans"]) for x in suffix_dedup.suffix_digest(frame(spark, docs).repartition(7)).collect())
+    assert got == sorted((i, True, 1) for i, t in docs)
+
+
 def test_dedup_windows_keeps_rows_and_columns(spark):
     df = frame(spark, DOCS)
     out = window_dedup.dedup_windows(df)

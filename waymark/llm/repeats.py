@@ -3,7 +3,9 @@
 A text is a sequence of symbols (bytes, or words) with a 64-bit code each. Every window of `size` symbols picks the
 least hash among its `gram`-symbol grams as its anchor (leftmost on ties), so equal windows have equal anchors at equal
 offsets, wherever they stand. Consecutive windows with one anchor are a *run*; runs, a hundredth of the
-windows or so, are what Spark shuffles:
+windows or so, are what Spark shuffles. The runs of one slice of texts that have equal content are one row with their
+places, so a passage in a third of all texts is a row for each slice, not for each text, in every join; what is found
+goes back to the slices, which tell their texts' spans:
 
 * anchors that occur once end there;
 * two runs with equal content repeat each other in all their windows at once;
@@ -21,6 +23,7 @@ doc_id count as further texts, and equal rows have equal spans.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -87,13 +90,27 @@ def anchored_runs(codes: np.ndarray, bounds: np.ndarray, w: Windows) -> tuple[np
     return text, start - bounds[text], n, anchor - start, tn.signed(grams[anchor]), tn.signed(content)
 
 
+PLACE = pa.struct([("order", pa.int64()), ("row", pa.int64()), ("pos", pa.int64())])
+RUN_ROW = "slice bigint, anchor bigint, content bigint, n int, lead int, places array<struct<order: bigint, row: bigint, pos: bigint>>"
+
+
 def _run_rows(w: Windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The runs of a slice of texts, one row for each content. A slice is named by its first text's key."""
         for batch in batches:
             for part, texts in tn.slices(batch):
                 text, pos, n, lead, anchor, content = anchored_runs(*w.codes(texts), w)
-                ids = [part.column(part.schema.get_field_index(c)).take(pa.array(text)) for c in ("row", "order")]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(pos), pa.array(n, pa.int32()), pa.array(lead, pa.int32()), pa.array(anchor), pa.array(content)], names=["row", "order", "pos", "n", "lead", "anchor", "content"])
+                at = np.lexsort((content, anchor))
+                new = np.ones(len(at), bool)
+                new[1:] = (np.diff(anchor[at]) != 0) | (np.diff(content[at]) != 0)
+                bounds, first = np.append(np.flatnonzero(new), len(at)), at[new]
+                order, row = (part.column(part.schema.get_field_index(c)) for c in ("order", "row"))
+                places = pa.StructArray.from_arrays([order.take(pa.array(text[at])), row.take(pa.array(text[at])), pa.array(pos[at])], fields=list(PLACE))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), row[0].as_py())), pa.array(anchor[first]), pa.array(content[first]), pa.array(n[first], pa.int32()), pa.array(lead[first], pa.int32())]
+                    + [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), places)],
+                    names=["slice", "anchor", "content", "n", "lead", "places"],
+                )
 
     return run
 
@@ -180,26 +197,31 @@ def _again_by_blocks(texts: DataFrame, w: Windows) -> DataFrame:
     return plain.union(mixed)
 
 
-def _offsets(n: int, parts: list | None) -> np.ndarray:
-    """All of n windows, or those that the parts' masks have bits for."""
-    if parts is None:
-        return np.arange(n)
+def _offsets(parts: list) -> np.ndarray:
+    """The windows that the parts' masks have bits for."""
     return np.array([p["at"] + i for p in parts for i in range(int(p["mask"]).bit_length()) if p["mask"] >> i & 1], np.int64)
 
 
 def _merge(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Maximal removal intervals of each text from the starts of its repeated windows."""
+        """Maximal removal intervals of each text of a slice from the starts of its repeated windows."""
         for batch in batches:
-            pdf, out = batch.to_pandas(), []
-            for marks in pdf["marks"]:
-                own = {m["pos"] for m in marks if m["own"]}
-                gone = [m["pos"] + _offsets(m["n"], m["parts"]) for m in marks if m["own"] and m["parts"] is not None or not m["own"] and m["pos"] not in own]
-                starts = np.unique(np.concatenate([np.zeros(0, np.int64), *gone]))
-                cut = np.flatnonzero(np.diff(starts) > size) + 1
-                out.append([{"start": int(s[0]), "end": int(s[-1]) + size} for s in np.split(starts, cut) if len(s)])
-            spans = pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), spans], names=["row", "spans"])
+            for marks in batch.column("marks"):
+                gone = defaultdict(list)
+                for m in marks.as_py():
+                    whole = np.arange(m["n"])
+                    some = _offsets(m["parts"] or [])
+                    for p in m["places"]:
+                        starts = whole if p["order"] != m["spared"] else some
+                        if len(starts):
+                            gone[p["row"]].append(p["pos"] + starts)
+                out = []
+                for found in gone.values():
+                    starts = np.unique(np.concatenate(found))
+                    cut = np.flatnonzero(np.diff(starts) > size) + 1
+                    out.append([{"start": int(s[0]), "end": int(s[-1]) + size} for s in np.split(starts, cut)])
+                spans = pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([pa.array(list(gone), pa.int64()), spans], names=["row", "spans"])
 
     return run
 
@@ -219,15 +241,15 @@ def repeated_spans(docs: DataFrame, w: Windows, keep_first: bool) -> DataFrame:
     """
     order = F.col("doc_id") if keep_first else F.lit(0).cast("bigint")
     docs = docs.where("row is not null").select("row", order.alias("order"), "text")
-    schema = "row bigint, order bigint, pos bigint, n int, lead int, anchor bigint, content bigint"
-    runs = written(docs.mapInArrow(_run_rows(w), schema), "runs")
-    anchors = runs.groupBy("anchor").agg(F.count("*").alias("times"), F.min("content").alias("lo"), F.max("content").alias("hi"))
+    runs = written(docs.mapInArrow(_run_rows(w), RUN_ROW), "runs")
+    times = F.sum(F.size("places")).alias("times")
+    anchors = runs.groupBy("anchor").agg(times, F.min("content").alias("lo"), F.max("content").alias("hi"))
     # written first, so that the join after it is a plain one whose hot keys Spark can split
     anchors = written(anchors.where("times > 1").select("anchor", (F.col("lo") < F.col("hi")).alias("several")), "anchors")
     runs = written(runs.join(anchors, "anchor"), "repeated")
 
-    first = F.min(F.struct("order", "row", "pos")).alias("first")
-    contents = runs.groupBy("anchor", "content").agg(F.count("*").alias("times"), first, F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("several").alias("several"))
+    first = F.min(F.array_min("places")).alias("first")
+    contents = runs.groupBy("anchor", "content").agg(times, first, F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("several").alias("several"))
     contents = written(contents.select("anchor", "content", "times", "first.*", "n", "lead", "several"), "contents")
     edges = contents.where("several").groupBy("row").agg(F.collect_list(F.struct("pos", "n", "lead", "anchor", "content", "times")).alias("marks"))
     edges = written(edges, "edges")
@@ -245,20 +267,15 @@ def repeated_spans(docs: DataFrame, w: Windows, keep_first: bool) -> DataFrame:
         again = again.select("anchor", "content", F.col("offset").alias("at"), F.lit(1).cast("bigint").alias("mask"))
     partly = again.groupBy("anchor", "content").agg(F.collect_list(F.struct("at", "mask")).alias("parts"))
 
-    own = F.lit(False)
-    if keep_first:  # all runs go but those of the first text, which an equi-join on the text's order finds: a common content isn't one key
-        owned = runs.join(contents.select("anchor", "content", "order"), ["anchor", "content", "order"])
-        # written first, so that the join after it is a plain one
-        owned = written(owned.select("row", "pos", "n", "anchor", "content"), "owned").join(written(partly, "partly"), ["anchor", "content"], "left")
-        marked = runs.select("row", "pos", "n", F.lit(None).cast(partly.schema["parts"].dataType).alias("parts"), own.alias("own")).union(owned.select("row", "pos", "n", "parts", F.lit(True)))
-    else:
-        whole = F.col("times") > 1
-        known = contents.join(partly, ["anchor", "content"], "left").select("anchor", "content", "times", "parts")
-        known = written(known.where(whole | F.col("parts").isNotNull()), "known")
-        marked = runs.join(known, ["anchor", "content"]).select("row", "pos", "n", F.when(~whole, F.col("parts")).alias("parts"), own.alias("own"))
-    marks = marked.groupBy("row").agg(F.collect_list(F.struct("pos", "n", "parts", "own")).alias("marks"))
+    # runs go wholly but for those of the order `spared`, of which the windows in `parts` go
+    spared = F.col("order") if keep_first else F.when(F.col("times") == 1, F.col("order"))
+    known = contents.join(partly, ["anchor", "content"], "left").where(F.col("parts").isNotNull() | (F.col("times") > 1))
+    # written first, so that the join after it is a plain one
+    known = written(known.select("anchor", "content", spared.alias("spared"), "parts"), "known")
+    marked = runs.select("slice", "anchor", "content", "n", "places").join(known, ["anchor", "content"])
+    marks = marked.groupBy("slice").agg(F.collect_list(F.struct("n", "places", "spared", "parts")).alias("marks")).select("marks")
     spans = marks.mapInArrow(_merge(w.size), "row bigint, spans array<struct<start: bigint, end: bigint>>")
-    return written(spans.where(F.size("spans") > 0), "spans")
+    return written(spans.dropDuplicates(["row"]), "spans")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

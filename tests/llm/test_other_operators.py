@@ -157,6 +157,42 @@ def test_lattices_of_texts_are_independent(model):
         assert all(model.decode(together.spelled(f[0]).tolist()) == text for f in found)
 
 
+def test_words_with_other_marks_share_a_lattice(model):
+    own = sp_codec.Pieces(pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model"))
+    texts = ["aneder, aneder. aneder;\naneder\n(aneder)", "x1y2-z \n\n é,Ñandú", "  a,\n  b--\t日本x 本. ab", "ана,x…a”"]
+    assert [e.tolist() for e in own.encode(texts[:1])] == own.model.encode(texts[:1])
+    assert own.lattice.nodes <= 2 * len(" aneder") + 12  # each word with its marks took 8 and more
+    assert [e.tolist() for e in own.encode(texts)] == own.model.encode(texts)
+    kinds = [set(own._kind[[ord(c) for c in p.lstrip(sp_codec.SPACE)]].tolist()) for p in own.plain if p.strip(sp_codec.SPACE)]
+    assert max(map(len, kinds)) == 1 and {1} in kinds and {2} in kinds
+
+
+def test_cuts_within_words_and_shared_hashes_change_no_sample(model, monkeypatch):
+    texts = ["aneder, x.y\nZz(aneder) 1a2b", "", "日本,ab Ⅷ\n\U0001f600a", "  an--an; an, an.\nAn" * 20, "a" * 300]
+    keys = [1, 2, 3, 4, 5]
+    drawn = lambda m: [([(s.spelled(w).tolist(), round(p, 9), round(v, 9)) for w, p, v in found], round(edge, 9)) for s in [sp_codec.Steps.over(m, [m.chunks(t) for t in texts])] for found, edge in sp_codec.sample_texts(s, keys, 3)]
+    expected = drawn(model)
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    with monkeypatch.context() as at:
+        at.setattr(sp_codec.tn, "span_hash", lambda prefix, start, end: np.zeros(len(start), np.uint64))
+        same = sp_codec.Pieces(path)
+        assert drawn(same) == expected and [e.tolist() for e in same.encode(texts)] == same.model.encode(texts)
+    monkeypatch.setattr(sp_codec.Pieces, "_alphabet", lambda self: "")
+    whole = sp_codec.Pieces(path)
+    assert whole.chunks("a,b  c") == [" a,b", "  c"] and model.chunks("a,b  c") == [" a", ",", "b", "  c"]
+    assert drawn(whole) == expected
+
+
+def test_forgotten_words_are_met_again(monkeypatch):
+    monkeypatch.setattr(sp_codec, "MEMO_EDGES", 20)
+    own = sp_codec.Pieces(pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model"))
+    for text in ["some words here, some", "other words there", "other words, some there", "", "here other"]:
+        own.lattice.trim()
+        assert own.encode([text])[0].tolist() == own.model.encode(text)
+    own.lattice.trim()
+    assert own.lattice.words == own.lattice.number.n == 4
+
+
 def test_codec_digest(spark):
     path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
     docs = spark.createDataFrame([(1, "some text here", 0), (2, None, 0), (3, "", 0), (None, "x", 0), (1, "some text here", 0)], "doc_id long, text string, ids int")

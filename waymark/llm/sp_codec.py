@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding, with sampled segmentations by Gumbel top-k without replacement.
 
-Encoding is the library's. Pieces hold spaces only in front, so a text's encoding is that of its space-led words, each
-encoded once for a worker. Decoding joins the pieces' bytes.
+Encoding is the library's. Pieces hold spaces only in front, and none joins a letter of the alphabet that most pieces are made
+of with another character. So a text's encoding is that of its words, cut before spaces and where that alphabet begins or ends,
+each encoded once for a worker. Decoding joins the pieces' bytes.
 
-Sampling. The lattice of a text is that of its space-led words, end to end, with every vocabulary piece that spells a part of a
+Sampling. The lattice of a text is that of its words, end to end, with every vocabulary piece that spells a part of a
 word as an edge (no piece crosses words); a character that no piece spells alone has an edge of its byte pieces. A
 segmentation's log-probability is the sum over its pieces of ALPHA * score - BETA, normalised: backward log-sums make each
 edge's share of what follows from its node. Perturbing every path with Gumbel noise, the k greatest are a sample without
@@ -22,8 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import re
-from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +40,6 @@ MEMO_EDGES = 5_000_000
 #: Bytes of text whose lattices are walked at a time.
 WALK_BYTES = 1 << 18
 U64 = np.uint64
-_CHUNK = re.compile(" +[^ ]*")
 
 
 class Pieces:
@@ -65,6 +64,13 @@ class Pieces:
         self.logit = np.array([self.model.get_score(i) * ALPHA - BETA for i in range(n)])
         self.byte_of = {int(names[i][3:5], 16): i for i in range(n) if self.model.is_byte(i)}
         self.letters: dict[str, list[int]] = {}
+        alphabet = self._alphabet()
+        self._kind = np.full(0x110000, 2, np.uint8)
+        self._kind[[ord(c) for c in alphabet]] = 1
+        self._kind[ord(" ")] = 0
+        #: What a word without a space is encoded behind: a character of the other kind.
+        self._guards = (alphabet[0], next(chr(c) for c in itertools.count(33) if chr(c) not in alphabet)) if alphabet else ("", "")
+        self._alphabet_of = frozenset(alphabet)
         self._lattice: Lattice | None = None
 
     @property
@@ -74,10 +80,47 @@ class Pieces:
             self._lattice = Lattice(self)
         return self._lattice
 
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """The space-led words of a text, which no piece crosses."""
-        return _CHUNK.findall(" " + text.replace(SPACE, " ")) if text else []
+    def _alphabet(self) -> str:
+        """The characters of the largest part of the vocabulary whose pieces share no character, behind spaces, with the others.
+
+        Empty, so that words are cut only before spaces, for models that change texts or merge unknown characters.
+        """
+        probe = "e\u0301 \N{LATIN SMALL LIGATURE FI} \N{FULLWIDTH LATIN SMALL LETTER A}"
+        if not self.byte_of or self.model.normalize(probe) != SPACE + probe.replace(" ", SPACE):
+            return ""
+        root: dict[str, str] = {}
+
+        def find(c: str) -> str:
+            while root.setdefault(c, c) != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        bodies = [p.lstrip(SPACE) for p in self.plain]
+        for body in bodies:
+            for c in body[1:]:
+                root[find(c)] = find(body[0])
+        parts = Counter(find(body[0]) for body in bodies if len(body) > 1)
+        most = max(parts, key=parts.get, default=None)
+        return "".join(sorted(c for c in root if find(c) == most and c != SPACE))
+
+    def cut(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """Texts end to end, a space before each that isn't empty, and cut into words, spaces in front, which no piece crosses.
+
+        All of it, its letters, the bounds of its words, and the n + 1 bounds of the texts' words.
+        """
+        whole = "".join(" " + t for t in texts if t).replace(SPACE, " ")
+        letters = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([0] + [len(t) + 1 if t else 0 for t in texts])
+        kind, begins = self._kind[letters], np.zeros(len(letters) + 1, bool)
+        begins[1:-1] = (kind[1:] != kind[:-1]) & (kind[:-1] != 0)
+        begins[ends] = True
+        bounds = np.flatnonzero(begins)
+        return whole, letters, bounds, np.searchsorted(bounds, ends)
+
+    def chunks(self, text: str) -> list[str]:
+        """The words of a text."""
+        whole, _, bounds, _ = self.cut([text])
+        return [whole[a:b] for a, b in itertools.pairwise(bounds.tolist())]
 
     def fallback(self, letter: str) -> list[int]:
         """The pieces of a character that isn't a piece."""
@@ -87,15 +130,16 @@ class Pieces:
         return self.letters[letter]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.encode_chunks([self.chunks(t) for t in texts])
-
-    def encode_chunks(self, chunks: list[list[str]]) -> list[np.ndarray]:
-        words, every = numbered(chunks)
-        return self.lattice.encodings(self.lattice.records(words)[every], np.cumsum([0] + [len(c) for c in chunks]))
+        whole, letters, bounds, words = self.cut(texts)
+        ids, ends = self.lattice.encodings(self.lattice.records(whole, letters, bounds), words)
+        return [ids[a:b] for a, b in itertools.pairwise(ends.tolist())]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The library's encoding of space-led words."""
-        return [ids if w != " " else [self.plain[SPACE]] for w, ids in zip(words, self.model.encode([w[1:] for w in words], num_threads=1), strict=True)]
+        """The library's encoding of words; it puts a space before each text."""
+        guards = ["" if w[0] == " " else self._guards[w[0] in self._alphabet_of] for w in words]
+        before = {g: len(self.model.encode(g)) for g in self._guards}
+        encoded = self.model.encode([g + w if g else w[1:] for w, g in zip(words, guards, strict=True)], num_threads=1)
+        return [ids[before[g] :] if g else ids if w != " " else [self.plain[SPACE]] for w, g, ids in zip(words, guards, encoded, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
@@ -110,6 +154,44 @@ class Pieces:
         return [t[1:] if t[:1] == " " else t for t in texts]
 
 
+class Table:
+    """Numbers by keys that are not negative: a hash table with linear probing."""
+
+    def __init__(self):
+        self.n, self.keys, self.numbers = 0, np.full(1, -1, np.int64), np.zeros(1, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (tn.mix(keys.view(U64)) & U64(len(self.keys) - 1)).view(np.int64)
+
+    def put(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Different keys that are not yet there."""
+        self.n += len(keys)
+        if 4 * self.n > len(self.keys):
+            have = self.keys >= 0
+            keys, numbers = np.concatenate([self.keys[have], keys]), np.concatenate([self.numbers[have], numbers])
+            slots = 1 << (8 * self.n).bit_length()
+            self.keys, self.numbers = np.full(slots, -1, np.int64), np.zeros(slots, np.int32)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[at[left]] < 0
+            slot, first = np.unique(at[left[free]], return_index=True)
+            placed = left[free][first]
+            self.keys[slot], self.numbers[slot] = keys[placed], numbers[placed]
+            left = np.setdiff1d(left, placed)
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' numbers, -1 for those that are not there."""
+        at = self._slot(keys)
+        have = self.keys[at]
+        lost = np.flatnonzero((have != keys) & (have >= 0))
+        while len(lost):
+            at[lost] = (at[lost] + 1) & (len(self.keys) - 1)
+            have[lost] = self.keys[at[lost]]
+            lost = lost[(have[lost] != keys[lost]) & (have[lost] >= 0)]
+        return np.where(have == keys, self.numbers[at], -1).astype(np.int64)
+
+
 class Lattice:
     """Nodes and edges of all words met: a word has a node for each of its characters, a node's longest edges stand first.
 
@@ -117,7 +199,7 @@ class Lattice:
     """
 
     RECORD = {"base": np.int64, "length": np.int64, "begin": np.int64, "count": np.int64}
-    KINDS = {"piece": np.int32, "span": np.int16, "logp": float, "rest": float}
+    KINDS = {"piece": np.int32, "span": np.int16, "logp": float, "share": float, "rest": float}
     #: Characters of words whose lattices are made at a time; a longer word is taken whole.
     PART = 1 << 14
 
@@ -125,43 +207,16 @@ class Lattice:
         self.model = model
         state = {p: i for i, p in enumerate(sorted({n[:i] for n in model.plain for i in range(len(n) + 1)}))}
         moves = [(state[p[:-1]] << 21 | ord(p[-1]), i) for p, i in state.items() if p]
-        self._hash_moves(*(np.array(column, np.int64) for column in zip(*moves, strict=True)))
+        self.moves = Table()
+        self.moves.put(*(np.array(column, np.int64) for column in zip(*moves, strict=True)))
         self.state_piece = np.full(len(state), -1, np.int32)
         self.state_piece[[state[p] for p in model.plain]] = list(model.plain.values())
-        self.number: dict[str, int] = {}
+        self.number = Table()
         self.words = self.ids_of = self.nodes = self.edges = 0
         self.kept: tuple[int, int, int, int] | None = None
-        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.first, self.ids, self.letter = np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
         self.base, self.length, self.begin, self.count = (np.zeros(0, kind) for kind in self.RECORD.values())
-        self.piece, self.span, self.logp, self.rest = (np.zeros(0, kind) for kind in self.KINDS.values())
-
-    def _hash_moves(self, keys: np.ndarray, target: np.ndarray) -> None:
-        """The automaton's moves as a hash table with linear probing."""
-        self.slots = 1 << (len(keys) * 8).bit_length()
-        self.move, self.target = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.int32)
-        at, left = self._slot(keys), np.arange(len(keys))
-        while len(left):
-            free = self.move[at[left]] < 0
-            slot, first = np.unique(at[left[free]], return_index=True)
-            placed = left[free][first]
-            self.move[slot], self.target[slot] = keys[placed], target[placed]
-            left = np.setdiff1d(left, placed)
-            at[left] = (at[left] + 1) % self.slots
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (tn.mix(keys.view(U64)) & U64(self.slots - 1)).view(np.int64)
-
-    def moved(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the keys (state and letter) are moves, and the states that those lead to."""
-        at = self._slot(keys)
-        have = self.move[at]
-        lost = np.flatnonzero((have != keys) & (have >= 0))
-        while len(lost):
-            at[lost] = (at[lost] + 1) % self.slots
-            have[lost] = self.move[at[lost]]
-            lost = lost[(have[lost] != keys[lost]) & (have[lost] >= 0)]
-        on = have == keys
-        return on, self.target[at[on]].astype(np.int64)
+        self.piece, self.span, self.logp, self.share, self.rest = (np.zeros(0, kind) for kind in self.KINDS.values())
 
     def trim(self) -> None:
         """Between slices: forget the words met since MEMO_EDGES was reached."""
@@ -170,39 +225,52 @@ class Lattice:
         elif self.edges > MEMO_EDGES:
             self.kept = self.words, self.ids_of, self.nodes, self.edges
 
-    def records(self, words: list[str]) -> np.ndarray:
-        """The records of different words; new ones are added."""
-        known = self.number.get
-        at = np.array([known(w, -1) for w in words], np.int64)
+    def records(self, whole: str, letters: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The records of the words between bounds; new ones are added. Words are found by a hash and compared letter by letter."""
+        size = np.diff(bounds)
+        key = (tn.span_hash(tn.prefix_hash(letters.astype(U64)), bounds[:-1], bounds[1:]) >> U64(1)).view(np.int64)
+        at = self.number.find(key)
         lost = np.flatnonzero(at < 0)
         if len(lost):
-            new = [words[i] for i in lost]
-            length = np.array([len(w) for w in new])
-            order = np.argsort(length, kind="stable")
-            new, lost, length = [new[i] for i in order], lost[order], length[order]
-            spelled = self.model.encode_words(new)
-            count = np.array([len(e) for e in spelled])
-            at[lost] = self.words + np.arange(len(new))
+            new, first, own = np.unique(key[lost], return_index=True, return_inverse=True)
+            at[lost] = self.words + own
             if not self.kept:
-                self.number.update(zip(new, at[lost].tolist(), strict=True))
-            own = self.nodes + np.cumsum(length) - length, length, self.ids_of + np.cumsum(count) - count, count
-            for name, values in zip(self.RECORD, own, strict=True):
-                self._put(name, self.words, values)
-            self._put("ids", self.ids_of, np.fromiter(itertools.chain.from_iterable(spelled), np.int32, int(count.sum())))
-            self.words, self.ids_of = self.words + len(new), self.ids_of + int(count.sum())
-            begin = 0
-            for end in [*(np.flatnonzero(np.diff(np.cumsum(length) // self.PART)) + 1).tolist(), len(new)]:
-                self._add(new[begin:end])
-                begin = end
+                self.number.put(new, self.words + np.arange(len(new)))
+            self._learn(whole, bounds, lost[first])
+        self._relearn(whole, bounds, at, np.flatnonzero(self.length[at] != size))
+        place = np.flatnonzero(self.letter[np.repeat(self.base[at] - bounds[:-1], size) + np.arange(len(letters))] != letters)
+        self._relearn(whole, bounds, at, np.unique(np.searchsorted(bounds, place, "right") - 1))
         return at
 
-    def encodings(self, records: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-        """The encodings of texts whose words are the records between bounds."""
+    def _relearn(self, whole: str, bounds: np.ndarray, at: np.ndarray, others: np.ndarray) -> None:
+        """Words that share their hash with another one have records of their own, each time."""
+        if len(others):
+            at[others] = self.words + np.arange(len(others))
+            self._learn(whole, bounds, others)
+
+    def _learn(self, whole: str, bounds: np.ndarray, words: np.ndarray) -> None:
+        """Add records of words."""
+        new = [whole[a:b] for a, b in zip(bounds[words].tolist(), bounds[words + 1].tolist(), strict=True)]
+        spelled = self.model.encode_words(new)
+        count, length = (np.fromiter(map(len, x), np.int64, len(new)) for x in (spelled, new))
+        order = np.argsort(length, kind="stable")
+        ends, base = np.cumsum(length[order]), np.empty(len(new), np.int64)
+        base[order] = self.nodes + ends - length[order]
+        for name, values in zip(self.RECORD, (base, length, self.ids_of + np.cumsum(count) - count, count), strict=True):
+            self._put(name, self.words, values)
+        self._put("ids", self.ids_of, np.fromiter(itertools.chain.from_iterable(spelled), np.int32, int(count.sum())))
+        self.words, self.ids_of = self.words + len(new), self.ids_of + int(count.sum())
+        new = [new[i] for i in order.tolist()]
+        begin = 0
+        for end in [*(np.flatnonzero(np.diff(ends // self.PART)) + 1).tolist(), len(new)]:
+            self._add(new[begin:end])
+            begin = end
+
+    def encodings(self, records: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The encodings, one after the other, of texts whose words are the records between bounds, and the n + 1 bounds of theirs."""
         n = self.count[records]
         ends = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[np.repeat(self.begin[records] - ends[:-1], n) + np.arange(ends[-1])]
-        cut = ends[bounds]
-        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return self.ids[np.repeat(self.begin[records] - ends[:-1], n) + np.arange(ends[-1])], ends[bounds]
 
     def _put(self, name: str, have: int, values: np.ndarray) -> None:
         column = getattr(self, name)
@@ -218,7 +286,9 @@ class Lattice:
         found: list[tuple[np.ndarray, np.ndarray]] = []
         at, state, length = np.arange(len(letters)), np.zeros(len(letters), np.int64), 0
         while len(at):
-            on, state = self.moved(state << 21 | letters[at + length])
+            state = self.moves.find(state << 21 | letters[at + length])
+            on = state >= 0
+            state = state[on]
             at, length = at[on], length + 1
             piece = self.state_piece[state]
             whole = piece >= 0
@@ -234,7 +304,7 @@ class Lattice:
         logits = [self.model.logit[p] for _, p in found[:-1]] + [np.array([self.model.logit[w].sum() for w in spelled])[kind]]
         node = np.concatenate([w for w, _ in found[::-1]])
         span = np.repeat([1, *range(len(found) - 1, 0, -1)], [len(w) for w, _ in found[::-1]])
-        order = np.argsort(node, kind="stable")
+        order = np.argsort(node.astype(np.min_scalar_type(len(letters))), kind="stable")  # sorted by digits if 16 bits hold it
         piece, logit = (np.concatenate(x)[order] for x in ([p for _, p in found[::-1]], logits[::-1]))
         return node[order], span[order], piece, logit
 
@@ -245,7 +315,7 @@ class Lattice:
         left = np.repeat(starts + size, size) - np.arange(len(letters))
         node, span, piece, logit = self._pieces_at(letters, left)
         away = left[node]
-        order = np.argsort(away, kind="stable")
+        order = np.argsort(away.astype(np.min_scalar_type(len(letters))), kind="stable")
         own, to, value = node[order], (node + span)[order], logit[order]
         value_after = span[order] < away[order]
         opens = np.flatnonzero(np.diff(own, prepend=-1))
@@ -264,17 +334,19 @@ class Lattice:
             v -= np.repeat(total, count)
         logp = np.empty(len(value))
         logp[order] = value
-        first = np.searchsorted(node, np.arange(len(letters) + 1))
-        for name, values in zip(self.KINDS, (piece, span, logp, self._log_rest(logp, node, first)), strict=True):
+        first = np.concatenate([[0], np.cumsum(np.bincount(node, minlength=len(letters)))])
+        share = np.exp(logp)
+        for name, values in zip(self.KINDS, (piece, span, logp, share, self._log_rest(logp, share, node, first)), strict=True):
             self._put(name, self.edges, values)
         self._put("first", self.nodes, first + self.edges)
+        self._put("letter", self.nodes, np.where(letters == ord(SPACE), ord(" "), letters))
         self.edges += len(node)
         self.nodes += len(letters)
 
     @staticmethod
-    def _log_rest(logp: np.ndarray, node: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def _log_rest(logp: np.ndarray, share: np.ndarray, node: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Log of the share of each edge's siblings together (-inf for an only edge)."""
-        share, several = np.exp(logp), np.diff(first)[node] > 1
+        several = np.diff(first)[node] > 1
         with np.errstate(divide="ignore"):
             rest = np.where(several, np.log1p(-np.minimum(share, 1.0)), -np.inf)
         near = np.flatnonzero((share > 1 - 1e-6) & several)  # too near to 1 to subtract
@@ -302,9 +374,9 @@ def draw_seed(key: int, draw: int) -> int:
     return (key * 0x9E3779B97F4A7C15 + draw * 0xC2B2AE3D27D4EB4F) & (1 << 64) - 1
 
 
-def uniforms(key: int, draw: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two times n numbers in (0, 1) for a row's key and the number of a draw."""
-    x = tn.mix(tn.mix(np.array([draw_seed(key, draw)], U64)) + np.arange(n, dtype=U64) * U64(0xD1B54A32D192ED03)).view(np.uint32)
+def uniforms(keys: list[int], draw: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers in (0, 1) for each row's key and the number of a draw."""
+    x = tn.mix(tn.mix(np.array([draw_seed(key, draw) for key in keys], U64))).view(np.uint32)
     u = (x + 0.5) * 2.0**-32
     return u[::2], u[1::2]
 
@@ -318,57 +390,54 @@ def truncated(value: float, free: float) -> float:
     return -float(np.logaddexp(-value, -free))
 
 
-def numbered(chunks: list[list[str]]) -> tuple[list[str], np.ndarray]:
-    """The different words of some texts, and the number of each word of the texts in turn."""
-    words = list(itertools.chain.from_iterable(chunks))
-    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    return list(number), np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-
-
 class Steps:
     """The lattices of some texts' words, laid end to end: a place for each character."""
 
     def __init__(self, model: Pieces, ids: np.ndarray):
-        self._lay(model, [model.chunks(model.decode(ids.tolist()))])
+        self._lay(model, *model.cut([model.decode(ids.tolist())]))
 
     @classmethod
-    def over(cls, model: Pieces, chunks: list[list[str]], records: np.ndarray | None = None) -> Steps:
-        """The steps of texts that are already cut into words; records are those of all words in turn."""
+    def over(cls, model: Pieces, chunks: list[list[str]]) -> Steps:
+        """The steps of texts that are already cut into words."""
+        whole = "".join(itertools.chain.from_iterable(chunks))
+        bounds = np.cumsum([0] + [len(w) for c in chunks for w in c])
+        return cls.at(model, whole, np.frombuffer(whole.encode("utf-32-le"), np.uint32), bounds, np.cumsum([0] + [len(c) for c in chunks]))
+
+    @classmethod
+    def at(cls, model: Pieces, whole: str, letters: np.ndarray, bounds: np.ndarray, words: np.ndarray) -> Steps:
+        """The steps of what `cut` gives."""
         own = object.__new__(cls)
-        own._lay(model, chunks, records)
+        own._lay(model, whole, letters, bounds, words)
         return own
 
-    def _lay(self, model: Pieces, chunks: list[list[str]], records: np.ndarray | None = None) -> None:
-        self.model, self.lattice = model, model.lattice
-        if records is None:
-            words, every = numbered(chunks)
-            records = self.lattice.records(words)[every]
-        base, ends = self.lattice.base[records], np.cumsum(self.lattice.length[records])
-        self.starts = np.concatenate([np.zeros(1, np.int64), ends])
-        self.words = np.cumsum([0] + [len(c) for c in chunks])
-        n = int(self.starts[-1])
-        self.node = np.repeat(base - self.starts[:-1], np.diff(self.starts)) + np.arange(n)
+    def _lay(self, model: Pieces, whole: str, letters: np.ndarray, bounds: np.ndarray, words: np.ndarray) -> None:
+        self.model, self.lattice, self.starts, self.words = model, model.lattice, bounds, words
+        self.records = self.lattice.records(whole, letters, bounds)
+        n = int(bounds[-1])
+        self.node = np.repeat(self.lattice.base[self.records] - bounds[:-1], np.diff(bounds)) + np.arange(n)
         self.begins = np.zeros(n + 1, bool)
         self.begins[self.starts] = True
 
     def walk(self, at: np.ndarray, seed: np.ndarray, origin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each place to its word's end by drawn edges: for every place met its edge (else -1), and a second draw."""
         edges, noise = np.full(len(self.node), -1, np.int64), np.zeros(len(self.node))
-        first, logp, span = self.lattice.first, self.lattice.logp, self.lattice.span
+        first, shares, span = self.lattice.first, self.lattice.share, self.lattice.span
         while len(at):
             x = tn.mix(seed + (at - origin).astype(U64) * U64(0xD1B54A32D192ED03)).view(np.uint32)
             u = (x + 0.5) * 2.0**-32
-            choice, noise[at] = u[::2].copy(), u[1::2]
-            edge, last = first[self.node[at]], first[self.node[at] + 1] - 1
-            share = np.exp(logp[edge])
+            choice, noise[at] = u[::2], u[1::2]
+            node = self.node[at]
+            edge, last = first[node], first[node + 1] - 1
+            share = shares[edge]
             over = np.flatnonzero((choice >= share) & (edge < last))
-            share = share[over]
+            choice, share, way, last = choice[over], share[over], edge[over], last[over]
             while len(over):
-                edge[over] += 1
-                choice[over] -= share
-                share = np.exp(logp[edge[over]])
-                on = (choice[over] >= share) & (edge[over] < last[over])
-                over, share = over[on], share[on]
+                choice = choice - share
+                way = way + 1
+                share = shares[way]
+                on = (choice >= share) & (way < last)
+                edge[over] = way
+                over, choice, share, way, last = over[on], choice[on], share[on], way[on], last[on]
             edges[at] = edge
             at = at + span[edge]
             on = ~self.begins[at]
@@ -377,22 +446,27 @@ class Steps:
 
     def spelled(self, ways: np.ndarray) -> np.ndarray:
         """The pieces of a path."""
-        ids = self.lattice.piece[ways]
-        if not (ids < 0).any():
-            return ids
-        own = {int(i): self.model.fallback(chr(-1 - i)) for i in np.unique(ids[ids < 0])}
-        count = np.ones(len(ids), np.int64)
+        return self.all_spelled([ways])[0]
+
+    def all_spelled(self, paths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of paths, one after the other, and the n + 1 bounds of theirs."""
+        ids = self.lattice.piece[np.concatenate([np.zeros(0, np.int64), *paths])]
+        ends = np.cumsum([0] + [len(ways) for ways in paths])
         some = np.flatnonzero(ids < 0)
+        if not len(some):
+            return ids, ends
+        own = {int(i): self.model.fallback(chr(-1 - i)) for i in np.unique(ids[some])}
+        count = np.ones(len(ids), np.int64)
         count[some] = [len(own[i]) for i in ids[some].tolist()]
         out = np.repeat(ids, count)
         out[out < 0] = [p for i in ids[some].tolist() for p in own[i]]
-        return out
+        return out, np.concatenate([[0], np.cumsum(count)])[ends]
 
 
 class Search:
     """The paths of one text that are out, and what they leave."""
 
-    def __init__(self, steps: Steps, text: int, key: int):
+    def __init__(self, steps: Steps, text: int, key: int, value: float):
         self.steps, self.key = steps, key
         self.starts = steps.starts[steps.words[text] : steps.words[text + 1]]
         self.start, self.end = (int(steps.starts[steps.words[t]]) for t in (text, text + 1))
@@ -402,18 +476,17 @@ class Search:
         self.before: list[np.ndarray] = []  # log-probability of the path before each step
         self.taken: list[dict[int, list[int]]] = []  # edges already out at a step
         self.later: list[dict[int, float]] = []  # values of what is left at steps that paths have branched off from
-        self.value, self.edge = float(gumbel(uniforms(key, 0, 1)[0])[0]), -np.inf
-        self.prefix = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.value, self.edge = value, -np.inf
+        self.prefix = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1)
         self.open = self.starts
 
-    def add(self, edges: np.ndarray, noise: np.ndarray) -> None:
-        """Put out the path of the prefix and the edges walked from `open`; its maximum is `value`."""
-        lattice, (places, ways) = self.steps.lattice, self.prefix
-        fresh = np.flatnonzero(edges[self.start : self.end] >= 0) + self.start
-        n, ways = len(places), np.concatenate([ways, edges[fresh]])
-        sums = np.concatenate([[0.0], np.cumsum(lattice.logp[ways])])
+    def add(self, fresh: np.ndarray, edges: np.ndarray, logp: np.ndarray, rest: np.ndarray, noise: np.ndarray) -> None:
+        """Put out the path of the prefix and the edges walked from `open` (places, edges, their values and draws); its maximum is `value`."""
+        places, ways, sums = self.prefix
+        n, ways = len(places), np.concatenate([ways, edges])
+        sums = np.concatenate([sums[:-1], np.cumsum(np.concatenate([sums[-1:], logp]))])
         free = np.full(len(ways), -np.inf)
-        free[n:] = sums[n:-1] + lattice.rest[ways[n:]] + gumbel(noise[fresh])
+        free[n:] = sums[n:-1] + rest + noise
         self.out.append((ways, float(sums[-1]), self.value))
         self.places.append(np.concatenate([places, fresh]))
         self.fringe.append(free)
@@ -429,8 +502,8 @@ class Search:
             found.append((truncated(self.out[p][2], float(free[at])), p, at))
         return max(found)
 
-    def branch(self, k: int) -> bool:
-        """Enter the best subtree; False, with the threshold kept, when k paths are out or none is left."""
+    def branch(self, k: int, choice: float, noise: float) -> bool:
+        """Enter the best subtree by the draws given; False, with the threshold kept, when k paths are out or none is left."""
         value, path, at = self.next_best()
         if len(self.out) == k or value == -np.inf:
             self.edge = value
@@ -442,13 +515,14 @@ class Search:
         logp = lattice.logp[first : int(lattice.first[node + 1])].copy()
         logp[gone] = -np.inf
         p = np.exp(logp - logp.max())
-        choice, noise = uniforms(self.key, 2 * len(self.out), 1)
-        way = min(int(np.searchsorted(np.cumsum(p), choice[0] * p.sum(), "right")), int(np.flatnonzero(p)[-1]))
+        way = min(int(np.searchsorted(np.cumsum(p), choice * p.sum(), "right")), int(np.flatnonzero(p)[-1]))
         gone.append(way)
+        before = self.before[path][: at + 1]
+        sums = np.append(before, before[-1] + lattice.logp[first + way])
         logp[way] = -np.inf
         self.fringe[path][at] = -np.inf
-        self.later[path][at] = truncated(value, self.before[path][at] + float(np.logaddexp.reduce(logp)) + gumbel(noise)[0]) if np.isfinite(logp).any() else -np.inf
-        self.value, self.prefix = value, (self.places[path][: at + 1], np.append(ways[:at], first + way))
+        self.later[path][at] = truncated(value, before[-1] + float(np.logaddexp.reduce(logp)) + noise) if np.isfinite(logp).any() else -np.inf
+        self.value, self.prefix = value, (self.places[path][: at + 1], np.append(ways[:at], first + way), sums)
         to = place + int(lattice.span[first + way])
         after = self.starts[np.searchsorted(self.starts, place, "right") :]
         self.open = after if self.steps.begins[to] else np.append(after, to)
@@ -460,18 +534,24 @@ def sample_texts(steps: Steps, keys: list[int], k: int) -> list[tuple[list[tuple
 
     A path is (ways, log p, perturbed value).
     """
-    every = [Search(steps, i, key) for i, key in enumerate(keys)]
+    every = [Search(steps, i, key, value) for i, (key, value) in enumerate(zip(keys, gumbel(uniforms(keys, 0)[0]).tolist(), strict=True))]
     for s in every:
         if not len(s.starts) and k > 0:
             s.out.append((np.zeros(0, np.int64), 0.0, s.value))
     live = [s for s in every if len(s.starts) and k > 0]
+    lattice, paths = steps.lattice, 0
     while live:
         n = [len(s.open) for s in live]
-        seeds = tn.mix(np.array([draw_seed(s.key, 2 * len(s.out) + 1) for s in live], U64))
+        seeds = tn.mix(np.array([draw_seed(s.key, 2 * paths + 1) for s in live], U64))
         edges, noise = steps.walk(np.concatenate([s.open for s in live]), np.repeat(seeds, n), np.repeat([s.start for s in live], n))
-        for s in live:
-            s.add(edges, noise)
-        live = [s for s in live if s.branch(k)]
+        places = np.flatnonzero(edges >= 0)
+        ways, noise = edges[places], gumbel(noise[places])
+        met = places, ways, lattice.logp[ways], lattice.rest[ways], noise
+        for s, a, b in zip(live, *(np.searchsorted(places, [getattr(s, x) for s in live]).tolist() for x in ("start", "end")), strict=True):
+            s.add(*(x[a:b] for x in met))
+        paths += 1
+        choice, noise = uniforms([s.key for s in live], 2 * paths)
+        live = [s for s, c, g in zip(live, choice.tolist(), gumbel(noise).tolist(), strict=True) if s.branch(k, c, g)]
     return [(s.out, s.edge) for s in every]
 
 
@@ -490,24 +570,16 @@ def _encode(path: str, k: int):
             for part, texts in tn.slices(batch, limit=WALK_BYTES):
                 keys = part.column(part.schema.get_field_index("doc_id"))
                 model.lattice.trim()
-                chunks = [model.chunks(t) for t in texts.to_pylist()]
-                words, every = numbered(chunks)
-                records = model.lattice.records(words)[every]
-                encoded = model.lattice.encodings(records, np.cumsum([0] + [len(c) for c in chunks]))
-                ends = np.cumsum([0] + [len(e) for e in encoded])
-                every = np.concatenate(encoded)
-                steps = Steps.over(model, chunks, records)
+                steps = Steps.at(model, *model.cut(texts.to_pylist()))
+                every, ends = model.lattice.encodings(steps.records, steps.words)
                 drawn = sample_texts(steps, [(key or 0) & (1 << 64) - 1 for key in keys.to_pylist()], k)
-                spelled: list[np.ndarray] = [np.zeros(0, np.int32)]
-                scores, count = [], [0]
-                for found, edge in drawn:
-                    spelled += [steps.spelled(ways) for ways, _, _ in found]
-                    scores += [(log_p, value, 1.0 if edge == -np.inf else float(-np.expm1(-np.exp(min(log_p - edge, 50.0))))) for _, log_p, value in found]
-                    count.append(len(found))
+                spelled, bounds = steps.all_spelled([ways for found, _ in drawn for ways, _, _ in found])
+                scores = [(log_p, value, 1.0 if edge == -np.inf else float(-np.expm1(-np.exp(min(log_p - edge, 50.0))))) for found, edge in drawn for _, log_p, value in found]
+                count = np.cumsum([0] + [len(found) for found, _ in drawn])
                 table_of = np.array(scores, np.float64).reshape(-1, 3)
-                lists = lambda arrays, values: pa.ListArray.from_arrays(pa.array(np.cumsum(arrays), pa.int32()), values)
-                samples = pa.StructArray.from_arrays([lists([len(s) for s in spelled], pa.array(np.concatenate(spelled))), *map(pa.array, table_of.T)], names=["ids", "log_p", "perturbed", "inclusion"])
-                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(every)), lists(count, samples)], names=["doc_id", "ids", "samples"])
+                lists = lambda bounds, values: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+                samples = pa.StructArray.from_arrays([lists(bounds, pa.array(spelled)), *map(pa.array, table_of.T)], names=["ids", "log_p", "perturbed", "inclusion"])
+                yield pa.RecordBatch.from_arrays([keys, lists(ends, pa.array(every)), lists(count, samples)], names=["doc_id", "ids", "samples"])
 
     return run
 

@@ -10,6 +10,7 @@ import shutil
 import subprocess
 import sys
 import time
+import weakref
 
 import duckdb
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import embed_dedup, hamming_topk, html_text, mixing, quality, queries, sp_codec
+from waymark.llm import embed_dedup, hamming_topk, html_text, mixing, ngram_join, quality, queries, repeats, sp_codec
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
@@ -235,6 +236,24 @@ def test_codec_digest_tells_every_sample(spark, monkeypatch):
     assert agree() == [True, True, False]
 
 
+def test_a_worker_that_goes_on_lets_go_of_the_model():
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    docs = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([5, 6]), pa.array([0, 0]), pa.array(["some text here", None])], names=["doc_id", "row", "order", "text"])
+    encode = lambda: [b.to_pylist() for b in sp_codec._encode(path, 2)(iter([docs]))]
+    others = [
+        lambda: quality._stat_rows(iter([docs])),
+        lambda: ngram_join._celled(5, ngram_join.Cells.of(0.8))(iter([docs])),
+        lambda: repeats._run_rows(repeats.WORDS_50)(iter([docs])),
+    ]
+    first = encode()
+    for other in others:
+        model = weakref.ref(sp_codec.pieces(path))
+        assert encode() == first and sp_codec.pieces(path) is model()  # the next task of the encoder finds it
+        list(other())
+        assert model() is None
+        assert encode() == first
+
+
 def test_codec_of_long_texts_through_spark(spark):
     path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
     texts = ["word " * 40_000, "x" * 30_000, "日本 " * 9_000]

@@ -114,6 +114,7 @@ def cell_keys(sets: list[np.ndarray], c: Cells) -> tuple[np.ndarray, np.ndarray]
 
 def _celled(words: int, c: Cells):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tn.kept_by("ngram_join")
         for batch in batches:
             for part, texts in tn.slices(batch):
                 sets = list(shingle_sets(texts, words))
@@ -137,6 +138,7 @@ def _celled(words: int, c: Cells):
 def _plausible(agree: int, similarity: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs whose sizes and sketches are those of sets that may be similar."""
+        tn.kept_by("ngram_join")
         for batch in batches:
             if not len(batch):
                 continue
@@ -189,6 +191,7 @@ def _covering_regions(nodes: DataFrame, c: Cells, similarity: Fraction, rounds:
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sets of the nodes asked for; another text under the same doc_id has another node and is left out."""
+        tn.kept_by("ngram_join")
         for batch in batches:
             for part, texts in tn.slices(batch):
                 sets, nodes = list(shingle_sets(texts, words)), part.column(part.schema.get_field_index("node")).to_numpy()
@@ -319,6 +322,7 @@ def _block(similarity: Fraction):
 def _distances(similarity: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distances of each set to the pivots of its region, and which of them it links to."""
+        tn.kept_by("ngram_join")
         for batch in (b.slice(at, WITH_PIVOTS) for b in batches for at in range(0, len(b), WITH_PIVOTS)):
             pdf = batch.to_pandas()
             d, hit = [], []

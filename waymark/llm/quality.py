@@ -86,6 +86,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 
 def _stat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tn.kept_by("quality")
     for batch in batches:
         for part, texts in tn.slices(batch):
             stats = pa.array(statistics(texts).tolist(), pa.list_(pa.float64()))

@@ -97,6 +97,7 @@ RUN_ROW = "slice bigint, anchor bigint, content bigint, n int, lead int, places
 def _run_rows(w: Windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The runs of a slice of texts, one row for each content. A slice is named by its first text's key."""
+        tn.kept_by("repeats")
         for batch in batches:
             for part, texts in tn.slices(batch):
                 text, pos, n, lead, anchor, content = anchored_runs(*w.codes(texts), w)
@@ -118,6 +119,7 @@ def _run_rows(w: Windows):
 def _window_rows(w: Windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The windows of the runs that `marks` names, one row each."""
+        tn.kept_by("repeats")
         for batch in batches:
             for part, texts in tn.slices(batch):
                 codes, bounds = w.codes(texts)
@@ -141,6 +143,7 @@ def _window_rows(w: Windows):
 def _block_rows(w: Windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The blocks of the runs (of bytes) that `marks` names, one row each."""
+        tn.kept_by("repeats")
         size, width = w.size, w.block
         for batch in batches:
             for part, texts in tn.slices(batch):

@@ -43,7 +43,7 @@ U64 = np.uint64
 
 
 class Pieces:
-    """One model, loaded once for a worker: the encoder's memory, the pieces' bytes, and the words' lattices."""
+    """One model, kept by a worker: the encoder's memory, the pieces' bytes, and the words' lattices."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -360,13 +360,12 @@ class Lattice:
         return rest
 
 
-_pieces: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
-    if path not in _pieces:
-        _pieces[path] = Pieces(path)
-    return _pieces[path]
+    """The model of a file, kept until the worker goes on to another operator's tasks."""
+    kept = tn.kept_by("sp_codec")
+    if path not in kept:
+        kept[path] = Pieces(path)
+    return kept[path]
 
 
 def draw_seed(key: int, draw: int) -> int:

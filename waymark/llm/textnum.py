@@ -6,6 +6,7 @@ follows the slice (or a single longer text), never the partition.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,21 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+_kept: dict[str, dict] = {}
+
+
+def kept_by(operator: str) -> dict:
+    """What an operator's tasks keep in this worker for its later ones; what other operators have kept there goes.
+
+    Workers outlive their tasks, so without this a model's tables would lie beside the next operator's data.
+    """
+    others = [name for name in _kept if name != operator and _kept[name]]
+    for name in others:
+        _kept[name].clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return _kept.setdefault(operator, {})
 
 
 def powers(base: int, n: int) -> np.ndarray:

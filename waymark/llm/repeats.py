@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .scratch import likely_in, written
+from .scratch import likely_in, written_by_size
 
 U64 = np.uint64
 LOW = U64(0xFFFFFFFF)
@@ -178,17 +178,17 @@ BLOCK_ROW = "anchor bigint, content bigint, times bigint, b int, t0 int, t1 int,
 
 def _again_by_blocks(texts: DataFrame, w: Windows) -> DataFrame:
     """(anchor, content, at, mask): windows of unrepeated runs that occur again, `mask` having a bit for each from `at`."""
-    blocks = written(texts.mapInArrow(_block_rows(w), BLOCK_ROW), "blocks")
+    blocks = written_by_size(texts.mapInArrow(_block_rows(w), BLOCK_ROW), "blocks")
     place = ["anchor", "b", "core"]
     cores = blocks.groupBy(*place).agg(F.sum("times").alias("met"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
     cores = cores.where("met > 1").select(*place, (F.col("lo") < F.col("hi")).alias("mixed"))
-    blocks = written(blocks.join(cores, place), "met")
+    blocks = written_by_size(blocks.join(cores, place), "met")
     span = F.expr("shiftleft(1L, t1 + 1) - shiftleft(1L, t0)")
     plain = blocks.where("times = 1 and not mixed").select("anchor", "content", "at", span.alias("mask"))
 
     edge = [*place, "whole"]
     kinds = blocks.where("mixed").groupBy(*edge).agg(F.sum("times").alias("times"), *[F.first(c).alias(c) for c in ("t0", "t1", "left", "right")])
-    kinds = written(kinds, "kinds")
+    kinds = written_by_size(kinds, "kinds")
     windows = kinds.select(*edge, "times", F.explode(F.sequence("t0", "t1")).alias("t"), "t0", "left", "right")
     before = F.expr(f"substring(left, t - t0 + 1, {w.block - 1} - t)")
     after = F.expr("substring(right, 1, t)")
@@ -244,24 +244,24 @@ def repeated_spans(docs: DataFrame, w: Windows, keep_first: bool) -> DataFrame:
     """
     order = F.col("doc_id") if keep_first else F.lit(0).cast("bigint")
     docs = docs.where("row is not null").select("row", order.alias("order"), "text")
-    runs = written(docs.mapInArrow(_run_rows(w), RUN_ROW), "runs")
+    runs = written_by_size(docs.mapInArrow(_run_rows(w), RUN_ROW), "runs")
     times = F.sum(F.size("places")).alias("times")
     anchors = runs.groupBy("anchor").agg(times, F.min("content").alias("lo"), F.max("content").alias("hi"))
     # written first, so that the join after it is a plain one whose hot keys Spark can split
-    anchors = written(anchors.where("times > 1").select("anchor", (F.col("lo") < F.col("hi")).alias("several")), "anchors")
-    runs = written(runs.join(anchors, "anchor"), "repeated")
+    anchors = written_by_size(anchors.where("times > 1").select("anchor", (F.col("lo") < F.col("hi")).alias("several")), "anchors")
+    runs = written_by_size(runs.join(anchors, "anchor"), "repeated")
 
     first = F.min(F.array_min("places")).alias("first")
     contents = runs.groupBy("anchor", "content").agg(times, first, F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("several").alias("several"))
-    contents = written(contents.select("anchor", "content", "times", "first.*", "n", "lead", "several"), "contents")
+    contents = written_by_size(contents.select("anchor", "content", "times", "first.*", "n", "lead", "several"), "contents")
     edges = contents.where("several").groupBy("row").agg(F.collect_list(F.struct("pos", "n", "lead", "anchor", "content", "times")).alias("marks"))
-    edges = written(edges, "edges")
+    edges = written_by_size(edges, "edges")
     texts = likely_in(docs, "row", edges.select("row")).join(edges, "row").dropDuplicates(["row"])
     if w.block and not keep_first:
         again = _again_by_blocks(texts, w)
     else:
         schema = "window bigint, anchor bigint, content bigint, times bigint, order bigint, offset int"
-        windows = written(texts.mapInArrow(_window_rows(w), schema), "windows")
+        windows = written_by_size(texts.mapInArrow(_window_rows(w), schema), "windows")
         counts = windows.groupBy("window").agg(F.sum("times").alias("all_times"), F.min("order").alias("least"))
         if keep_first:
             again = windows.join(counts.select("window", "least"), "window").where("least < order")
@@ -274,13 +274,13 @@ def repeated_spans(docs: DataFrame, w: Windows, keep_first: bool) -> DataFrame:
     spared = F.col("order") if keep_first else F.when(F.col("times") == 1, F.col("order"))
     known = contents.join(partly, ["anchor", "content"], "left").where(F.col("parts").isNotNull() | (F.col("times") > 1))
     # written first, so that the join after it is a plain one
-    known = written(known.select("anchor", "content", spared.alias("spared"), "parts"), "known")
+    known = written_by_size(known.select("anchor", "content", spared.alias("spared"), "parts"), "known")
     marked = runs.select("slice", "anchor", "content", "n", "places").join(known, ["anchor", "content"])
     marks = marked.groupBy("slice").agg(F.collect_list(F.struct("n", "places", "spared", "parts")).alias("marks")).select("marks")
     spans = marks.mapInArrow(_merge(w.size), "row bigint, spans array<struct<start: bigint, end: bigint>>")
-    return written(spans.dropDuplicates(["row"]), "spans")
+    return written_by_size(spans.dropDuplicates(["row"]), "spans")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """One row for each key of docs that has spans, with them; other texts aren't shuffled."""
-    return likely_in(docs, "row", spans.select("row")).join(spans, "row").dropDuplicates(["row"])
+    """One row for each key of docs that has spans, with them; other texts aren't shuffled. Spans may be many, so none are broadcast."""
+    return likely_in(docs, "row", spans.select("row")).join(spans.hint("merge"), "row").dropDuplicates(["row"])

@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import measured_joins
 
 _local: list[str] = []
 
@@ -34,6 +35,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by_size(df: DataFrame, name: str) -> DataFrame:
+    """`written`, with joins that broadcast a side only by its measured size: for sides that grow with the corpus."""
+    with measured_joins(df.sparkSession):
+        return written(df, name)
+
+
 def unused(name: str, *tables: DataFrame) -> str:
     """A column name that none of the tables has, in any case."""
     taken = {c.lower() for t in tables for c in t.columns}

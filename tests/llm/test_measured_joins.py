@@ -1,10 +1,12 @@
 """Joins of the corpus operators broadcast a side only by its measured size; what Spark guesses of compressed files may be far too low."""
 
 import re
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import readwriter
 
+from waymark.llm.ngram_join import jaccard_components
 from waymark.llm.suffix_dedup import suffix_digest
 
 GUESSED, FOUND = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
@@ -38,7 +40,7 @@ def texts(spark):
     return spark.createDataFrame(rows, "doc_id bigint, text string")
 
 
-@pytest.mark.parametrize("operator", [suffix_digest], ids=["op6"])
+@pytest.mark.parametrize("operator", [suffix_digest, lambda d: jaccard_components(d, 3, Fraction(9, 10))], ids=["op6", "op1"])
 def test_no_broadcast_by_guessed_size(spark, plans, operator):
     before = spark.conf.get(GUESSED, None), spark.conf.get(FOUND, None)
     out = operator(texts(spark))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import written, written_by_size
 
 LINKS_PER_TASK = 500_000
 
@@ -67,7 +67,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     if state[0] <= LINKS_PER_TASK:
         return written(links.coalesce(1).mapInArrow(_settle, "node bigint, component bigint"), "components")
     for _ in range(rounds):
-        links = written(_small_star(_large_star(links)), "links")
+        links = written_by_size(_small_star(_large_star(links)), "links")
         after = _state(links)
         if after == state:
             nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))

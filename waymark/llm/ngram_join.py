@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .components import components
-from .scratch import arrow_batches, likely_in, without_rows, written
+from .scratch import arrow_batches, likely_in, without_rows, written, written_by_size
 
 U64 = np.uint64
 #: Probability that a pair at the similarity asked for meets in no cell; the same again that its sketches disagree.
@@ -161,19 +161,19 @@ def _covering_regions(nodes: DataFrame, c: Cells, similarity: Fraction, rounds:
     """
     rows = nodes.select("node", F.explode("cells").alias("cell"))
     shared = rows.groupBy("cell").agg(F.min("node").alias("low"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
-    cells = written(rows.join(shared, "cell"), "cells")
-    sketches = written(cells.select("node").distinct().join(nodes.select("node", "n_shingles", "sketch"), "node"), "sketches")
+    cells = written_by_size(rows.join(shared, "cell"), "cells")
+    sketches = written_by_size(cells.select("node").distinct().join(nodes.select("node", "n_shingles", "sketch"), "node"), "sketches")
     side = lambda k, v, n: sketches.select(F.col("node").alias(k), F.col("sketch").alias(v), F.col("n_shingles").alias(n))
     edges, family, own, todo = None, None, [], cells
     for _ in range(rounds):
         pairs = todo.where("node != low").select("low", "node").distinct()
         pairs = pairs.join(side("node", "y", "m"), "node").join(side("low", "x", "n"), "low").select("low", "node", "x", "y", "n", "m")
-        found = written(pairs.mapInArrow(_plausible(c.agree, similarity), "low bigint, node bigint"), "plausible")
+        found = written_by_size(pairs.mapInArrow(_plausible(c.agree, similarity), "low bigint, node bigint"), "plausible")
         edges = found if edges is None else edges.union(found)
         family = components(edges).select("node", F.col("component").alias("family"))
         of = todo.select("cell", "node", "n", "members").join(family, "node", "left").withColumn("family", F.coalesce("family", "node"))
         mixed = of.groupBy("cell").agg(F.min("family").alias("f0"), F.max(F.struct("family", "node")).alias("f1")).where("f0 < f1.family").select("cell", "f0", F.col("f1.node").alias("low"))
-        todo = written(of.join(mixed, "cell"), "mixed")
+        todo = written_by_size(of.join(mixed, "cell"), "mixed")
         own.append(todo.where(F.col("n") <= LARGE_CELL).select("cell", "node", "members"))
         todo = todo.where(F.col("n") > LARGE_CELL)
         if todo.isEmpty():
@@ -359,12 +359,12 @@ def metric_join(sets: DataFrame, similarity: Fraction, leaf: int = LEAF, depth:
 
     sets: node bigint, regions array<bigint>, shingles array<bigint>, one row for each node.
     """
-    region = written(sets.select(F.explode("regions").alias("region"), "node", "shingles"), "region")
+    region = written_by_size(sets.select(F.explode("regions").alias("region"), "node", "shingles"), "region")
     out = None
     eps = float(1 - similarity) + 1e-9
     keys = [F.xxhash64("node", F.lit(i)) for i in range(PIVOTS)]
     for level in range(depth + 1):
-        sizes = written(region.groupBy("region").agg(F.count("*").alias("size")), "sizes")
+        sizes = written_by_size(region.groupBy("region").agg(F.count("*").alias("size")), "sizes")
         small = region.join(sizes.where((F.col("size") > 1) & (F.col("size") <= leaf)).select("region"), "region", "left_semi")
         links = small.groupBy("region").applyInPandas(_leaf(similarity), "a bigint, b bigint")
         large = sizes.where(F.col("size") > leaf).select("region")
@@ -382,7 +382,7 @@ def metric_join(sets: DataFrame, similarity: Fraction, leaf: int = LEAF, depth:
                 measured = rest.join(pivots, "region").mapInArrow(_distances(similarity), schema)
                 mask = F.aggregate(F.transform("linked", lambda hit, i: F.when(hit, F.pow(F.lit(2), i).cast("int")).otherwise(0)), F.lit(0), lambda x, y: x + y)
                 with arrow_batches(sets.sparkSession, WITH_PIVOTS):
-                    measured = written(measured.withColumn("mask", mask), "pivots")
+                    measured = written_by_size(measured.withColumn("mask", mask), "pivots")
                 hit = F.explode(F.filter(F.arrays_zip("pivot_nodes", "linked"), lambda p: p["linked"]))
                 links = links.union(measured.select("node", hit.alias("p")).where("node != p.pivot_nodes").select(F.col("node").alias("a"), F.col("p.pivot_nodes").alias("b")))
                 groups = measured.groupBy("region", "mask").agg(F.count("*").alias("n")).groupBy("region").applyInPandas(_main_groups, "region bigint, mask int, main boolean")
@@ -391,12 +391,12 @@ def metric_join(sets: DataFrame, similarity: Fraction, leaf: int = LEAF, depth:
                 near = F.array_min("d")
                 cell = lambda c: F.xxhash64("region", c, F.lit(level)).alias("region")
                 settled = split.where("main").select(cell(F.array_position("d", near)), "node", "shingles")
-                opened = written(split.where("not main and not array_contains(pivot_nodes, node)"), "open")  # pivots have met all others
+                opened = written_by_size(split.where("not main and not array_contains(pivot_nodes, node)"), "open")  # pivots have met all others
                 within = F.filter(F.transform("d", lambda x, i: F.when(x <= near + 2 * eps, (i + 1).cast("bigint"))), lambda i: i.isNotNull())
                 window = opened.select("*", F.explode(within).alias("_cell")).select(cell(F.col("_cell")), "node", "shingles")
                 links = links.union(_in_blocks(window, settled, similarity, leaf, False))
                 region = opened.select("region", "node", "shingles")
-        links = written(links, "found")
+        links = written_by_size(links, "found")
         out = links if out is None else out.union(links)
         if last:
             break
@@ -432,9 +432,9 @@ def jaccard_join(docs: DataFrame, words: int = 5, similarity: float | Fraction =
     base = written(docs.mapInArrow(_celled(words, c), "doc_id bigint, row bigint, n_shingles bigint, node bigint, cells array<bigint>, sketch binary"), "sets")
     named = base.where("n_shingles > 0 and doc_id is not null")
     first = [F.first(k).alias(k) for k in ("n_shingles", "cells", "sketch")]
-    nodes = written(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *first), "nodes")
+    nodes = written_by_size(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *first), "nodes")
     member = _covering_regions(nodes, c, similarity).groupBy("node").agg(F.collect_set("region").alias("regions"))
-    asked = written(nodes.select("node", "doc_id").join(member, "node"), "members")
+    asked = written_by_size(nodes.select("node", "doc_id").join(member, "node"), "members")
     texts = likely_in(docs, "doc_id", asked.select("doc_id")).join(asked, "doc_id")
     sets = texts.select("node", "regions", "text").mapInArrow(_sets(words), "node bigint, regions array<bigint>, shingles array<bigint>")
     return base.select("doc_id", "row", "n_shingles", "node"), metric_join(sets, similarity)
@@ -446,10 +446,10 @@ def row_components(docs: DataFrame, words: int = 5, similarity: float | Fraction
     roots = components(links).select("node", F.col("component").alias("root"))
     lone = F.col("n_shingles") == 0
     named = member.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = named.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    of_node = named.join(least, "root").select("node", "component")
-    out = member.join(of_node, "node", "left")
+    of_node = named.join(least.hint("merge"), "root").select("node", "component")
+    out = member.join(of_node.hint("merge"), "node", "left")
     return out.select("doc_id", "row", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(lone, F.col("doc_id")).otherwise(F.col("component"))).alias("component_id"))
 
 
